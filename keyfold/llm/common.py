@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def batches(it: Iterable[pa.RecordBatch], rows: int, size: int = 8 << 20, column
     """Slices of the batches with at most so many rows and, but for single long rows, so many bytes of a column."""
     for b in it:
         start, held = 0, 0
-        lengths = pa.compute.binary_length(b.column(column)).to_pylist()
+        lengths = pc.binary_length(b.column(column)).to_pylist()
         for i, n in enumerate(lengths):
             n = n or 0
             if i > start and (held + n > size or i - start >= rows):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import exact_dedup, host_rules, mixing, packing, token_counts
+from keyfold.llm import chat_format, exact_dedup, host_rules, html_extract, language_id, lm_scoring, mixing, near_dedup, packing, token_counts
 from keyfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,18 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: JSON schemas of the tools whose calls op7 checks.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string", "minLength": 1}}, "required": ["expression"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}}, "required": ["url"], "additionalProperties": False},
+}
+
+
+def op1_byte_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,18 +39,44 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_quality(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op4_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op8_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_host_rules, op6_best_fit_packing, op8_fair_mixing, op10_token_counts)
-}
+    f.__name__: f
+    for f in (
+        op1_byte_language_id, op2_exact_dedup, op3_host_rules, op4_forest_near_dedup, op5_main_text, op6_best_fit_packing, op7_tool_call_chats, op8_fair_mixing,
+        op9_log_bilinear_scores, op10_token_counts, pipeline,
+    )
+}
