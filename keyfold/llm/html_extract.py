@@ -55,7 +55,9 @@ SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 #: Starting counts (inside, outside) of the weights.
 PRIOR = {("word", "plain"): (30.0, 6.0), ("word", "link"): (6.0, 5.0), ("word", "apart"): (0.2, 20.0), ("word", "outside"): (1.0, 10.0)}
 MOST = 5.0
-#: Tags that articles are made of; however rare in the sample, they cost no more than half a word.
+#: What words and tags apart may cost between two other words.
+APART_MOST = 1.0
+#: Tags that articles are made of; however rare in the sample, they cost little.
 USUAL = INLINE | {"p", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "th", "td", "blockquote", "pre", "figure", "figcaption"}
 
 
@@ -174,7 +176,7 @@ def fit(pages: list[str]) -> dict[tuple[str, str], float]:
     for key in {*inside, *outside}:
         w = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
         if key[0] == "tag":  # tags always cost something
-            w = min(-0.05, max(-0.4 if key[1] in USUAL else -MOST, w - 1.0))
+            w = min(-0.05, max(-0.2 if key[1] in USUAL else -MOST, w - 1.0))
         elif key[1] in ("plain", "link"):
             w = min(1.0, max(0.05, w))
         else:
@@ -197,7 +199,7 @@ def main_text(html: str | None, weights: dict[tuple[str, str], float]) -> str:
             if s and not apart:
                 spent = 0.0
         if apart:
-            s = max(s, spent - MOST)
+            s = max(s, spent - APART_MOST)
             spent -= s
         scores.append(s)
     best, start, stop, total, begin = 0.0, 0, 0, 0.0, 0

@@ -17,8 +17,9 @@ A pair at the threshold of 0.85 is in no common region with a chance of 0.28 **
 crowded.
 
 Defined results: with fewer words than a shingle has, the whole sequence is one shingle; null texts and those without
-words are linked with nothing. Repeated ids are one document, with links of all its rows. Rows without an id count as
-one document whose id comes after all others. Long texts are read whole; an empty table gives no rows.
+words are linked with nothing. Rows are linked by their texts, so repeated ones share a component and a verdict; a
+missing id comes after all others. A class is known by its smallest id: classes in which that is the same, as rows
+repeat an id with other texts or lack one, count as one. Long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import ASCII_LOWER, batches, materialise
@@ -100,7 +101,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-FEATURES = "doc_id long, n_shingles long, set_key binary, slots binary, sig binary"
+FEATURES = "doc_id long, mark long, n_shingles long, set_key binary, slots binary, sig binary"
 
 
 def features(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -115,8 +116,8 @@ def features(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch
             values[i] = slots[row].astype(">u4").tobytes()
             short[i] = slots[row].astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(short, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "slots", "sig"],
+            [pa.array(ids, pa.int64()), b.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(short, pa.binary())],
+            names=["doc_id", "mark", "n_shingles", "set_key", "slots", "sig"],
         )
 
 
@@ -298,9 +299,19 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return found.filter("b is not null").select("a", "b").union(more.select("a", "b"))
 
 
+def mark_of(text: Column) -> Column:
+    """What tells rows with the same id, or none, apart."""
+    return F.xxhash64(text.cast("binary"))
+
+
 def near_components(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return judged(docs, percent, size, doc_id, text).drop("mark")
+
+
+def judged(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_components with the mark of each row's text."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), mark_of(F.col(text)).alias("mark"), F.col(text).cast("binary").alias("text"))
     found = materialise(rows.mapInArrow(lambda it: features(it, size), FEATURES), "features")
     classes = found.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("slots").alias("slots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = materialise(classes, "classes")
@@ -315,14 +326,15 @@ def near_components(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: s
     links = pairs.mapInArrow(lambda it: confirm(it, size, percent), "a long, b long")
     roots = components(links).withColumnRenamed("node", "id")
     of_class = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component"))
-    out = found.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    out = found.select("doc_id", "mark", "n_shingles", "set_key").join(of_class, "set_key", "left")
     real = lambda c: F.when(c != NO_ID, c)
     component = F.coalesce("component", "doc_id")
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """The rows of docs that stay, one document of each component, with all their columns."""
-    goes = near_components(docs, percent, size).filter(~F.col("kept")).select(F.struct("doc_id").alias("_key")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_key"))
+    goes = judged(docs, percent, size).filter(~F.col("kept")).select(F.struct("doc_id", "mark").alias("_key")).distinct()
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), own.alias("_key"))
     return rows.join(goes, "_key", "left_anti").select("_row.*")
