@@ -25,8 +25,9 @@ def iterate(
 ) -> DataFrame:
     """The state after so many rounds, or once `until` holds of the states before and after one.
 
-    Each round's state is kept, spilling to disk, until the next one is there. Every checkpoint_every rounds it is
-    written to the checkpoint folder, which cuts lineage, and to checkpoint_path/cp-n if that is given.
+    States between checkpoints are kept, spilling to disk, and computed when one is read: without `until`, the rounds up
+    to a checkpoint are stages of one job. Every checkpoint_every rounds the state is written to the checkpoint folder,
+    which cuts lineage, and to checkpoint_path/cp-n if that is given.
     """
     if rounds < 0 or staleness < 0:
         raise ValueError("rounds and staleness aren't negative")
@@ -42,12 +43,13 @@ def iterate(
             held = []
         elif n < rounds or until is not None:
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
-            after.count()
             held.append(after)
-        if until is not None and until(state, after):
-            return after
-        if len(held) > 2:
-            held.pop(0).unpersist()
+        if until is not None:
+            after.count()
+            if until(state, after):
+                return after
+            if len(held) > 2:  # those before have been read by now
+                held.pop(0).unpersist()
         state = after
     return state
 
