@@ -19,6 +19,11 @@ def lines(spark: SparkSession, path: str, max_per_file: int | None = None) -> Da
     return whole.select(F.explode("v").alias("value"))
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files of a folder, not of folders in it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "length")
+
+
 def lazy_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the path and the block of the file that they are in."""
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("offset"))

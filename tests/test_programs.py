@@ -33,6 +33,7 @@ def test_line_limits_and_lazy_lines(spark, tmp_path):
     assert sorted(r.value for r in text.lines(spark, str(tmp_path), 2).collect()) == ["1", "2", "4", "5"]
     assert text.lines(spark, str(tmp_path), 0).count() == 5 and text.lazy_lines(spark, str(tmp_path)).count() == 5
     assert text.whole_files(spark, str(tmp_path)).count() == 2
+    assert sorted(r.length for r in text.files(spark, str(tmp_path)).collect()) == [4, 6]
 
 
 def test_grammars(spark):
