@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.common import WORD_CLASS, join_small, materialise
 
-#: Documents in a bucket or slot, about.
-BUCKET = 50_000
+#: Documents in a hash-range bucket of a source, about: what one window holds.
+BUCKET = 1000
+#: Documents whose copies are in a slot of finish times, about: what is sorted at the end of the budget.
+SLOT = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,7 +74,7 @@ def mixed(sized: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3
     targets = materialise(source_targets(sized, weights, epochs), "targets")
     rows = materialise(queued(sized, targets), "queued")
     budget, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    k = -(-n // BUCKET) or 1
+    k = -(-n // SLOT) or 1
     slot = lambda f: F.when(f < 2, F.floor(f * k)).otherwise(2 * k + F.floor(F.log2(f) * 16)).cast("long")
     copies = rows.filter("size > 0").select("rank", "key", "size", F.explode(F.array(*(F.struct(finish(F.lit(e)).alias("f")) for e in range(epochs)))).alias("c"))
     copies = copies.select("rank", "key", "size", F.col("c.f").alias("f"), slot(F.col("c.f")).alias("slot"))
