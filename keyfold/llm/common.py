@@ -79,7 +79,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def batches(it: Iterable[pa.RecordBatch], rows: int, size: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(it: Iterable[pa.RecordBatch], rows: int, size: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many rows and, but for single long rows, so many bytes of a column."""
     for b in it:
         start, held = 0, 0

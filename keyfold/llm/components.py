@@ -1,23 +1,16 @@
 """Connected components of links, by alternating large and small stars.
 
-Each round every node hands its smallest neighbour to its other neighbours, until each component is a star around its
-smallest node. Before the first round, and after each, tasks contract the links they hold with a union-find over a
-fixed number of links at a time, so hot nodes arrive as few links. Rounds are written to the shared folder.
+In each round a node's larger neighbours are linked to its smallest one instead, then its smaller ones as well, until
+each component is a star around its smallest node. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import materialise
 
-#: Links that a task contracts at a time.
-CHUNK = 500_000
-
 
 class UnionFind:
     """The root of a set is its smallest member."""
@@ -46,34 +39,14 @@ class UnionFind:
         return nodes, [self.find(x) for x in nodes]
 
 
-def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) to links of each node with the smallest of its set here."""
-    sets, n = UnionFind(), 0
-
-    def out() -> pa.RecordBatch:
-        a, b = sets.links()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    for batch in it:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            sets.join(a, b)
-        n += batch.num_rows
-        if n >= CHUNK:
-            yield out()
-            sets, n = UnionFind(), 0
-    yield out()
-
-
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). A materialised row (node, root) for every node that has a link, roots themselves left out."""
-    shrink = lambda df: df.mapInArrow(contract, "a long, b long")
-    now = materialise(shrink(links.select("a", "b")).filter("a <> b").distinct(), "links")
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.filter("a <> b").distinct(), "links")  # a > b in each
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+    now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while True:  # a > b in each link; tables of least neighbours are written, so joins on hot nodes can be split
+        least = materialise(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = materialise(large.distinct(), "links")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
         now = materialise(small.filter("a <> b").distinct(), "links")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of strings that a map task's trie may hold before it evicts a subtree.
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 32 << 20
 
 
 class Node:

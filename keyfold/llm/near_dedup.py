@@ -44,7 +44,7 @@ CROWD = 256
 #: Shingles of a group, or of a block of a larger one, that are compared in one task.
 GROUP = 400_000
 NO_ID = 2**63 - 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +105,7 @@ FEATURES = "doc_id long, mark long, n_shingles long, set_key binary, slots binar
 
 
 def features(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches(it, 2000, 4 << 20):
+    for b in batches(it, 2000, 2 << 20):
         ids = b.column("doc_id").to_pylist()
         sets = shingle_sets(b.column("text").to_pylist(), size)
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -119,6 +119,7 @@ def features(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch
             [pa.array(ids, pa.int64()), b.column("mark"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(short, pa.binary())],
             names=["doc_id", "mark", "n_shingles", "set_key", "slots", "sig"],
         )
+    _words.clear()
 
 
 class Region:
@@ -239,7 +240,7 @@ def confirm(it: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[p
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    for batch in batches(it, 2000, 4 << 20):
+    for batch in batches(it, 2000, 2 << 20):
         marks = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "p", "q"))))
         new = shingle_sets(batch.column("text").to_pylist(), size)
         for mark, doc, block, s in zip(marks, batch.column("id").to_pylist(), batch.column("block").to_pylist(), new):
@@ -253,6 +254,7 @@ def confirm(it: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[p
                 sets.append(s)
     if now is not None:
         yield from out()
+    _words.clear()
 
 
 def linked(ids: list[int], blocks: list[int] | None, sets: list[np.ndarray], percent: int) -> UnionFind:

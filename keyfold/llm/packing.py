@@ -29,7 +29,7 @@ from keyfold.llm.common import batches, materialise, partition_id
 from keyfold.llm.token_counts import words_of
 from keyfold.llm.tokens import encoder
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _ids: dict[str, dict[bytes, bytes]] = {}
 
 FIELDS = ["doc_id", "piece", "start", "length", "crc", "offset"]

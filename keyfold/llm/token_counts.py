@@ -27,7 +27,7 @@ from keyfold.llm.tokens import encoder
 #: Summaries that one task merges.
 FAN_IN = 32
 #: Words that a worker keeps beside the broadcast table.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _lengths: dict[tuple[str, int], dict[bytes, int]] = {}
 
