@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.functions import ascii_lower, hash_bucket, tokens, words
+from keyfold.functions import hash_bucket, tokens, words
 
 
 def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -38,19 +38,21 @@ def idf_weights(docs: DataFrame, n_docs: int, text: str = "text") -> DataFrame:
     return joined.select("doc_id", "term", (F.col("cnt") / F.col("total")).alias("tf"), F.log(F.lit(n_docs) / F.col("df")).alias("tf_idf"))
 
 
-def hashed_terms(text: str, buckets: int) -> Column:
-    return F.transform(words(text), lambda w: hash_bucket(w, buckets))
+def hashed_counts(docs: DataFrame, buckets: int, text: str) -> DataFrame:
+    """term_counts of hashed words. Words are counted first, so each is hashed once a document."""
+    counts = term_counts(docs, words(text)).withColumn("term", hash_bucket("term", buckets))
+    return counts.groupBy("doc_id", "term").agg(F.sum("cnt").alias("cnt"), F.max("total").alias("total"))
 
 
 def count_over_df(docs: DataFrame, buckets: int = 2 << 18, text: str = "text") -> DataFrame:
     """(doc_id, term, tf_idf) of hashed words, lower-cased: the count in the document over df."""
-    joined = _with_df(term_counts(docs, hashed_terms(text, buckets)))
+    joined = _with_df(hashed_counts(docs, buckets, text))
     return joined.select("doc_id", "term", (F.col("cnt") / F.col("df")).alias("tf_idf"))
 
 
 def log_weights(docs: DataFrame, n_docs: int, buckets: int, text: str = "text") -> DataFrame:
     """(doc_id, term, tf_idf) of hashed words: the share in the document times ln(n_docs / df)."""
-    joined = _with_df(term_counts(docs, hashed_terms(text, buckets)))
+    joined = _with_df(hashed_counts(docs, buckets, text))
     return joined.select("doc_id", "term", (F.col("cnt") / F.col("total") * F.log(F.lit(n_docs) / F.col("df"))).alias("tf_idf"))
 
 
@@ -59,6 +61,3 @@ def feature_points(weights: DataFrame, labels: DataFrame, label: str) -> DataFra
     points = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("term").cast("int").alias("i"), F.col("tf_idf").cast("double").alias("v")))).alias("x"))
     return points.join(labels.select("doc_id", F.col(label).alias("y")), "doc_id").select(F.col("doc_id").alias("id"), "y", "x")
 
-
-def lower_tokens(text: str) -> Column:
-    return tokens(ascii_lower(text))
