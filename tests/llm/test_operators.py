@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from keyfold.llm import chat_format, components, exact_dedup, host_rules, html_extract, language_id, lm_scoring, mixing, near_dedup, packing, token_counts
 from keyfold.llm.queries import vocabulary
