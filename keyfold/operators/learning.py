@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +183,39 @@ def sparse_logistic(points: DataFrame, rounds: int, alpha: float, parts: int, ba
     return out
 
 
+def full_logistic(points: DataFrame, rounds: int, alpha: float, parts: int, key: str = "id") -> tuple[DataFrame, float]:
+    """Parameters (fea, val) and the intercept, from all points in every round: as in dense_logistic, a round adds the sum
+    over logical partitions of their mean gradients times alpha. Labels under 0 count as 0. A round is one scan; a row
+    per feature comes to the driver."""
+    y = F.when(F.col("y") < 0, 0).otherwise(F.col("y")).cast("double").alias("y")
+    rows = points.select(F.pmod(F.col(key), F.lit(parts)).cast("int").alias("p"), y, F.col("x.i").alias("i"), F.col("x.v").alias("v"))
+    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("i")).alias("last")).collect()
+    counts = np.ones(parts)
+    for r in sizes:
+        counts[r["p"]] = r["n"]
+    w = np.zeros(max((r["last"] for r in sizes if r["last"] is not None), default=-1) + 2)
+    for _ in range(rounds):
+
+        def gradient(it: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(w)
+            for b in it:
+                fea, v = b.column("i").flatten().to_numpy(zero_copy_only=False), b.column("v").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), b.column("i").value_lengths().to_numpy(zero_copy_only=False))
+                z = np.bincount(row, weights=v * w[fea], minlength=b.num_rows) + w[-1]
+                e = (b.column("y").to_numpy() - 1 / (1 + np.exp(-z))) / counts[b.column("p").to_numpy()]
+                total += np.bincount(fea, weights=v * e[row], minlength=len(w))
+                total[-1] += e.sum()
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["fea", "g"])
+
+        sums = rows.mapInArrow(gradient, "fea int, g double").groupBy("fea").agg(F.sum("g").alias("g")).collect()
+        w = w.copy()
+        for r in sums:
+            w[r["fea"]] += alpha * r["g"]
+    used = np.flatnonzero(w[:-1]).tolist()
+    return points.sparkSession.createDataFrame([(i, float(w[i])) for i in used], "fea int, val double"), float(w[-1])
+
+
 # matrix factorisation
 
 

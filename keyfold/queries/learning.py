@@ -70,10 +70,10 @@ def lr_sparse_step(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_lr(spark: SparkSession, sf: str) -> DataFrame:
-    """Term weights of labelled documents, parameters from them, and the accuracy on all."""
+    """Term weights of labelled documents, parameters and an intercept from all of them in each round, and the accuracy on all."""
     points = _sparse_points(spark, sf).persist()
-    params = learning.sparse_logistic(points, 5, 0.5, PARTS, 200)
-    z = learning.sparse_margins(points, params)
+    params, bias = learning.full_logistic(points, 5, 0.5, PARTS)
+    z = learning.sparse_margins(points, params, bias)
     return z.agg(F.avg(((F.col("z") >= 0) == (F.col("y") > 0)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
