@@ -70,6 +70,20 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def one_of_each(rows: DataFrame, key: str, repeats: DataFrame, order: Column) -> DataFrame:
+    """The fields of rows (_row, key), with one row, the last by order, of each key that repeats names.
+
+    Only then rows are written, and each task leaves one row of a key before these are shuffled, so that a hot key isn't
+    read by one task.
+    """
+    if not repeats.limit(1).count():
+        return rows.select("_row.*")
+    marked = rows.select(key, "_row", order.alias("_order")).join(repeats.select(key).distinct().withColumn("_again", F.lit(True)), key, "left")
+    marked = materialise(marked, "repeated")
+    one = marked.filter("_again").groupBy(key).agg(F.max_by("_row", "_order").alias("_row"))
+    return marked.filter("_again is null").select("_row.*").union(one.select("_row.*"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

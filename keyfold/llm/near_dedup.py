@@ -18,8 +18,9 @@ crowded.
 
 Defined results: with fewer words than a shingle has, the whole sequence is one shingle; null texts and those without
 words are linked with nothing. Rows are linked by their texts, so repeated ones share a component and a verdict; a
-missing id comes after all others. A class is known by its smallest id: classes in which that is the same, as rows
-repeat an id with other texts or lack one, count as one. Long texts are read whole; an empty table gives no rows.
+missing id comes after all others. A class is known by a 64-bit hash of its set, so texts that share an id or lack one
+are told apart; the smallest id of a component is taken at the end. Long texts are read whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ASCII_LOWER, batches, materialise
+from keyfold.llm.common import ASCII_LOWER, batches, materialise, one_of_each
 from keyfold.llm.components import UnionFind, components
 
 TREES, DEPTH = 12, 4
@@ -308,35 +309,43 @@ def mark_of(text: Column) -> Column:
 
 def near_components(docs: DataFrame, percent: int = 85, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    return judged(docs, percent, size, doc_id, text).drop("mark")
+    return judged(docs, percent, size, doc_id, text)[0].drop("mark", "one")
 
 
-def judged(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """near_components with the mark of each row's text."""
+def judged(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """near_components with the mark of each row's text and whether its id and mark are the ones that stand for the
+    component (one); and the pairs of id and mark that several rows have, as _key."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), mark_of(F.col(text)).alias("mark"), F.col(text).cast("binary").alias("text"))
     found = materialise(rows.mapInArrow(lambda it: features(it, size), FEATURES), "features")
-    classes = found.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("slots").alias("slots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = materialise(classes, "classes")
+    repeats = materialise(found.groupBy("doc_id", "mark").count().filter("count > 1").select(F.struct("doc_id", "mark").alias("_key")), "repeats")
+    classes = found.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("slots").alias("slots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = materialise(classes.withColumn("id", F.xxhash64("set_key")), "classes")
     groups = components(candidate_links(classes))
     groups = materialise(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    members = classes.select("id", "n").join(groups.withColumnRenamed("node", "id"), "id")
+    members = classes.select("id", "n", "least").join(groups.withColumnRenamed("node", "id"), "id")
     weights = members.groupBy("root").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks"))
-    members = members.join(weights, "root").select("id", F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    texts = rows.filter("text is not null").join(members.distinct(), rows["doc_id"] == members["id"]).select("grp", "block", "id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.join(weights, "root").select("id", F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("least.doc_id").alias("_doc"), F.col("least.mark").alias("_mark"))
+    texts = rows.filter("text is not null").join(members.distinct(), (rows["doc_id"] == F.col("_doc")) & (rows["mark"] == F.col("_mark")))
+    texts = texts.select(F.struct("doc_id", "mark").alias("_key"), F.struct("grp", "blocks", "block", "id", "text").alias("_row"))
+    texts = one_of_each(texts, "_key", repeats, F.lit(0)).select("grp", "block", "id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = texts.select("grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "text")
     pairs = pairs.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
     links = pairs.mapInArrow(lambda it: confirm(it, size, percent), "a long, b long")
     roots = components(links).withColumnRenamed("node", "id")
-    of_class = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component"))
+    roots = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+    linked = materialise(classes.select("id", "least").join(roots, "id"), "linked")  # written, as is best, so joins on hot roots can be split
+    best = materialise(linked.groupBy("root").agg(F.min("least").alias("best")), "best")
+    of_class = classes.select("set_key", "id", "least").join(linked.join(best, "root").select("id", "best"), "id", "left").select("set_key", F.coalesce("best", "least").alias("best"))
     out = found.select("doc_id", "mark", "n_shingles", "set_key").join(of_class, "set_key", "left")
     real = lambda c: F.when(c != NO_ID, c)
-    component = F.coalesce("component", "doc_id")
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.coalesce("best.doc_id", "doc_id")
+    one = (F.col("doc_id") == component) & (F.col("mark") == F.coalesce("best.mark", "mark"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), one.alias("one")), repeats
 
 
 def keep_one(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    goes = judged(docs, percent, size).filter(~F.col("kept")).select(F.struct("doc_id", "mark").alias("_key")).distinct()
+    """The rows of docs that stay, the documents with the least id of each component, with all their columns."""
+    goes = judged(docs, percent, size)[0].filter(~F.col("kept")).select(F.struct("doc_id", "mark").alias("_key")).distinct()
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), own.alias("_key"))
     return rows.join(goes, "_key", "left_anti").select("_row.*")

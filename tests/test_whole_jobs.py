@@ -1,7 +1,11 @@
 """Queries that have to read all of their input, against brute force."""
 
+import random
+from collections import Counter
+
 import numpy as np
 
+from keyfold.llm import near_dedup
 from keyfold.operators import learning
 from keyfold.queries import QUERIES
 from keyfold.queries import learning as learning_queries
@@ -50,3 +54,26 @@ def test_points_beyond_a_prefix_count(spark):
     params, bias = learning.full_logistic(points, 20, 0.5, 4)
     z = learning.sparse_margins(points, params, bias)
     assert z.filter("(z >= 0) <> (y > 0)").count() == 0
+
+
+def prose_of(seed, n=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def changed(words):
+    return [*words[:-1], "other"]
+
+
+SAME_IDS = [(7, prose_of(1)), (None, changed(prose_of(1))), (None, prose_of(2)), (9, prose_of(3)), (None, changed(prose_of(3))), (5, prose_of(4)), (5, prose_of(5)), (6, changed(prose_of(5))), *[(None, prose_of(6))] * 5]
+
+
+def test_texts_with_the_same_id_or_none_are_not_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in SAME_IDS], "doc_id long, text string").repartition(3)
+    want = Counter([(7, 7), (None, 7), (None, None), (9, 9), (None, 9), (5, 5), (5, 5), (6, 5), *[(None, None)] * 5])
+    for group in (near_dedup.GROUP, 60):
+        monkeypatch.setattr(near_dedup, "GROUP", group)
+        got = near_dedup.near_components(docs).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == want
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    assert kept[None, " ".join(prose_of(2))] == 1 and kept[9, " ".join(prose_of(3))] == 1 and kept[7, " ".join(prose_of(1))] == 1
