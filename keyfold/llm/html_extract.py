@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is read as a sequence of words and tags. Words score by where they stand, tags by their name; a linear scan
-finds the contiguous region with the largest sum. Weights are log odds from labelled pages: those that mark their
-article themselves, of which a bounded sample (`sample` pages, by hash of their id, of at most `longest` characters)
+finds the contiguous region with the largest sum. A page is marked if an open article or main that isn't apart holds plain
+words; others are scanned with weights learned with the marker hidden. Weights are log odds from labelled pages: those that
+mark their article themselves, of which a bounded sample (`sample` pages, by hash of their id, of at most `longest` characters)
 is read to fit them. Fixed starting counts stand for what a sample doesn't show. In the region, blocks that stand in
 menus, forms, adverts, comments and the like are left out; every other block is kept whole.
 
@@ -53,7 +54,7 @@ NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]
 SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 #: Starting counts (inside, outside) of the weights.
-PRIOR = {("word", "plain"): (30.0, 6.0), ("word", "link"): (6.0, 5.0), ("word", "apart"): (0.2, 20.0), ("word", "outside"): (1.0, 10.0)}
+PRIOR = {("word", "plain"): (30.0, 6.0), ("word", "link"): (6.0, 5.0), ("word", "apart"): (0.2, 20.0), ("word", "outside"): (1.0, 10.0), ("hidden", "plain"): (30.0, 6.0), ("hidden", "link"): (6.0, 5.0)}
 MOST = 5.0
 #: What words and tags apart may cost between two other words.
 APART_MOST = 1.0
@@ -78,10 +79,21 @@ def _apart(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def events(html: str) -> Iterator[tuple]:
-    """('t', name, whether it stands apart) for a tag; ('w', where, block, text) for a run of text, where: plain, link, apart or outside."""
+def events(html: str) -> tuple[bool, list[tuple]]:
+    """Whether the page marks its article, with plain words in it, and its events: ('t', name, whether it stands apart) for
+    a tag; ('w', where, block, text) for a run of text, where: plain, link, apart or, on marked pages, outside."""
+    found = list(read(html))
+    marked = any(e[0] == "w" and e[1] == "plain" and e[4] and e[3].strip() for e in found)
+    return marked, [_seen(e, marked) for e in found]
+
+
+def _seen(e: tuple, marked: bool) -> tuple:
+    return e if e[0] == "t" else ("w", "outside" if marked and not e[4] and e[1] != "apart" else e[1], e[2], e[3])
+
+
+def read(html: str) -> Iterator[tuple]:
+    """Events with the marker hidden: where is plain, link or apart; a fifth field tells whether an article is open."""
     at, block, n = 0, 0, len(html)
-    marked = re.search(r"<(article|main)[\s>]", html, re.IGNORECASE) is not None
     stack: list[tuple[str, bool]] = []
     bad = articles = links = 0
     while at < n:
@@ -90,8 +102,8 @@ def events(html: str) -> Iterator[tuple]:
             lt = n
         text = html[at:lt]
         if text:
-            where = "apart" if bad else "outside" if marked and not articles else "link" if links else "plain"
-            yield "w", where, block, text
+            where = "apart" if bad else "link" if links else "plain"
+            yield "w", where, block, text, articles > 0
         if lt >= n:
             return
         if html.startswith("<!--", lt):
@@ -106,8 +118,7 @@ def events(html: str) -> Iterator[tuple]:
         if m is None:
             if lt + 1 < n and (html[lt + 1].isalpha() and html[lt + 1].isascii() or html[lt + 1] == "/"):
                 return  # a tag that the page's end cuts off
-            where = "apart" if bad else "outside" if marked and not articles else "link" if links else "plain"
-            yield "w", where, block, "<"
+            yield "w", "apart" if bad else "link" if links else "plain", block, "<", articles > 0
             at = lt + 1
             continue
         closing, name, attributes = m[1] == "/", m[2].lower(), m[3]
@@ -124,7 +135,7 @@ def events(html: str) -> Iterator[tuple]:
         yield "t", name, bad > 0
         if name == "br":
             block -= 1
-            yield "w", "apart" if bad else "outside" if marked and not articles else "plain", block, "\n"
+            yield "w", "apart" if bad else "plain", block, "\n", articles > 0
         elif name == "a":
             links = 0 if closing else 1
         elif name in HOLDERS:
@@ -160,11 +171,14 @@ def fit(pages: list[str]) -> dict[tuple[str, str], float]:
         inside[key] += a
         outside[key] += b
     for html in pages:
-        m = re.search(r"<article[\s>]", html, re.IGNORECASE)
-        if m is None:
+        marked, found = events(html)
+        if not marked:
             continue
         depth = 0
-        for e in events(html):
+        for e in read(html):  # with the marker hidden, for pages without one
+            if e[0] == "w" and e[1] != "apart":
+                (inside if e[4] else outside)["hidden", e[1]] += len(e[3].split())
+        for e in found:
             if e[0] == "w":
                 n = len(e[3].split())
                 into = inside if e[1] in ("plain", "link") and depth else outside
@@ -177,6 +191,8 @@ def fit(pages: list[str]) -> dict[tuple[str, str], float]:
         w = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
         if key[0] == "tag":  # tags always cost something
             w = min(-0.05, max(-0.2 if key[1] in USUAL else -MOST, w - 1.0))
+        elif key[0] == "hidden":
+            w = max(-MOST, min(1.0, w))
         elif key[1] in ("plain", "link"):
             w = min(1.0, max(0.05, w))
         else:
@@ -189,12 +205,13 @@ def main_text(html: str | None, weights: dict[tuple[str, str], float]) -> str:
     runs: list[tuple[str, int, str]] = []
     scores: list[float] = []
     spent = 0.0  # what words and tags apart have cost since the last other word; however many, a region may go on
-    for e in events(html or ""):
+    marked, found = events(html or "")
+    for e in found:
         if e[0] == "t":
             apart, s = e[2], weights.get(("tag", e[1]), -0.5)
             runs.append(("", -1, ""))
         else:
-            apart, s = e[1] == "apart", weights[("word", e[1])] * len(e[3].split())
+            apart, s = e[1] == "apart", weights["word" if marked or e[1] == "apart" else "hidden", e[1]] * len(e[3].split())
             runs.append((e[1], e[2], e[3]))
             if s and not apart:
                 spent = 0.0

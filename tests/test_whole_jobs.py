@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from keyfold.llm import near_dedup
+from keyfold.llm import html_extract, near_dedup
 from keyfold.operators import learning
 from keyfold.queries import QUERIES
 from keyfold.queries import learning as learning_queries
@@ -77,3 +77,22 @@ def test_texts_with_the_same_id_or_none_are_not_one(spark, monkeypatch):
         assert Counter((r.doc_id, r.component_id) for r in got) == want
     kept = Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
     assert kept[None, " ".join(prose_of(2))] == 1 and kept[9, " ".join(prose_of(3))] == 1 and kept[7, " ".join(prose_of(1))] == 1
+
+
+def test_pages_whose_article_is_not_the_main_text(spark):
+    words = lambda n: " ".join(f"word{n}{i}" for i in range(30))
+    main = f"<div class=content><p>{words('a')}</p><p>{words('b')}</p></div>"
+    pages = {
+        1: f"<body>{main}<article class=comment><p>A reader says so</p></article></body>",
+        2: f"<body>{main}<aside><article><p>A teaser</p></article></aside></body>",
+        3: f"<body><!-- <article> -->{main}<script>'<main >'</script></body>",
+        4: f"<body><div><p>{words('c')}</p></div><article>{main}</article></body>",
+    }
+    got = html_extract.extract(spark.createDataFrame([(i, "u", h) for i, h in pages.items()], "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == dict.fromkeys(pages, f"{words('a')}\n{words('b')}")
+
+
+def test_the_scan_leaves_out_links_outside_articles():
+    links = "<div>" + "<a href=x>one two three</a> " * 9 + "</div>"
+    weights = html_extract.fit([f"<body>{links}<article><p>{'word ' * 99}</p></article>{links}</body>"] * 30)
+    assert html_extract.main_text(f"<body>{links}<div><p>the text of it</p></div>{links}</body>", weights) == "the text of it"
