@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm.common import materialise, one_of_each
 
 #: Bytes of strings that a map task's trie may hold before it evicts a subtree.
 TRIE_BYTES = 32 << 20
@@ -186,16 +187,26 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bud
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def _kept(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as _row, with _id, _points and sha, and those of them that have their owner's id."""
+    owners = trie_owners(docs, doc_id, text).filter("group_size > 1").select("sha", "keep_id")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    norm = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), F.length(whole).alias("_points"), F.sha2(norm, 256).alias("sha"))
+    goes = (keyed["sha"] == owners["sha"]) & ~keyed["_id"].eqNullSafe(owners["keep_id"])
+    return keyed, keyed.join(owners, goes, "left_anti")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Rows that go are found by their digest and id; rows of texts that occur once have no entry in the join's other side.
     """
-    columns = docs.columns
-    owners = trie_owners(docs, doc_id, text).filter("group_size > 1").select("sha", "keep_id")
-    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(doc_id).alias("_id"), F.sha2(norm, 256).alias("sha"))
-    goes = (keyed["sha"] == owners["sha"]) & ~keyed["_id"].eqNullSafe(owners["keep_id"])
-    return keyed.join(owners, goes, "left_anti").select("_row.*")
+    return _kept(docs, doc_id, text)[1].select("_row.*")
 
 
+def keep_single(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """keep_first, but one row of each text: of rows that repeat the owner's id, or lack one as it does, the longest."""
+    keyed, kept = _kept(docs, doc_id, text)
+    repeats = materialise(keyed.groupBy("sha", "_id").count().filter("count > 1").select("sha").distinct(), "repeats")
+    return one_of_each(kept, "sha", repeats, F.col("_points"))

@@ -349,3 +349,12 @@ def keep_one(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), own.alias("_key"))
     return rows.join(goes, "_key", "left_anti").select("_row.*")
+
+
+def keep_single(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """keep_one, but one row of each component, also where several have its least id or none has one. Rows without words
+    are a component by their id and text each."""
+    found, repeats = judged(docs, percent, size)
+    goes = found.filter(~F.col("one")).select(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "mark").alias("_key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), mark_of(F.col("text")).alias("mark")).alias("_key"))
+    return one_of_each(rows.join(goes, "_key", "left_anti"), "_key", repeats, F.lit(0))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from keyfold.llm import html_extract, near_dedup
+from keyfold.llm import exact_dedup, html_extract, near_dedup
 from keyfold.operators import learning
 from keyfold.queries import QUERIES
 from keyfold.queries import learning as learning_queries
@@ -96,3 +96,15 @@ def test_the_scan_leaves_out_links_outside_articles():
     links = "<div>" + "<a href=x>one two three</a> " * 9 + "</div>"
     weights = html_extract.fit([f"<body>{links}<article><p>{'word ' * 99}</p></article>{links}</body>"] * 30)
     assert html_extract.main_text(f"<body>{links}<div><p>the text of it</p></div>{links}</body>", weights) == "the text of it"
+
+
+def test_stages_leave_one_row_of_repeated_ones(spark):
+    a, b, c = (" ".join(prose_of(n)) for n in (11, 12, 13))
+    texts = [(1, a), (1, a), (1, a + " "), (2, a), *[(None, b)] * 6, (None, " " + b), (3, c), (3, c), *[(None, None)] * 2, (4, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kept = Counter(map(tuple, exact_dedup.keep_single(docs).collect()))
+    assert kept == Counter([(1, a + " "), (None, " " + b), (3, c), (4, " ")])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in SAME_IDS] + [(7, " ".join(prose_of(1))), (5, " ".join(changed(prose_of(4))))], "doc_id long, text string").repartition(3)
+    kept = Counter(map(tuple, near_dedup.keep_single(docs).collect()))
+    assert sum(kept.values()) == 6 and all((i, " ".join(prose_of(n))) in kept for i, n in ((7, 1), (None, 2), (9, 3), (None, 6)))
+    assert sorted(i for i, _ in kept if i == 5) == [5, 5]
