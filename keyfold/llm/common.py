@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
-#: Rows of a table that may be broadcast; at some tens of bytes a row this stays under ten megabytes.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON) of a table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: A-Z to lower case, all other bytes as they are.
@@ -30,44 +31,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in local tests, a temporary one."""
+    """The folder of spark.checkpoint.dir. Only on a local master, as in tests, one of the machine's own if it is unset."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyfold-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that executors share")
+            where = tempfile.mkdtemp(prefix="keyfold-")
         sc.setCheckpointDir(where)
     return where
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+#: Tables that materialise has written and nothing has freed yet, in order: session and path.
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended, and its folder with it
+    except Exception:  # freed before, or the session has ended, and its folder with it
         pass
 
 
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
+        _remove(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs no more than the tasks after the last such table. The files go when
-    the driver's process ends.
+    This cuts the lineage: a lost executor costs no more than the tasks after the last such table. Who writes a table
+    frees it once nothing reads it any more (free, freed_but); those that a returned DataFrame reads go when the
+    driver's process ends, or with the stage of the pipeline that they belong to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyfold-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyfold_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of materialise that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_keyfold_path", None) in _written:
+            _remove(df._keyfold_path)
+
+
+@contextmanager
+def freed_but(keep: list[DataFrame]) -> Iterator[None]:
+    """Of the tables written inside, all but those put into keep are deleted at the end."""
+    before = set(_written)
+    yield
+    kept = {getattr(df, "_keyfold_path", None) for df in keep}
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _remove(path)
+
+
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has no more than so many rows and, written as JSON, bytes. Reads no more than rows + 1 of it."""
+    length = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in table.columns))))
+    n, held = table.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return n <= rows and held <= size
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a materialised table, broadcast only if it has at most so many rows.
+    """Join with a materialised table, broadcast only if its rows and bytes are few.
 
-    Beyond that bound the join is left to the planner, whose adaptive execution splits hot keys.
+    Beyond that the join is left to the planner, whose adaptive execution splits hot keys.
     """
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if is_small(right, rows) else right, on, how)
 
 
 def one_of_each(rows: DataFrame, key: str, repeats: DataFrame, order: Column) -> DataFrame:

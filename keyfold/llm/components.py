@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import materialise
+from keyfold.llm.common import free, materialise
 
 
 class UnionFind:
@@ -46,11 +46,15 @@ def components(links: DataFrame) -> DataFrame:
         least = materialise(now.groupBy("a").agg(F.min("b").alias("m")), "least")
         large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = materialise(large.distinct(), "links")
+        free(now, least)
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
         now = materialise(small.filter("a <> b").distinct(), "links")
+        free(large, least)
         # done when all are stars: no node has two smaller neighbours, and no centre has a smaller one
         several = now.groupBy("a").count().filter("count > 1").limit(1).count()
         if not several and not now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._keyfold_path = now._keyfold_path
+            return out

@@ -329,6 +329,68 @@ def test_html(spark):
     assert html_extract.extract(got.sparkSession.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+
+def hidden(html):
+    """A page without its markers and the names of its elements."""
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(article|main)\b", r"<\1div", html))
+
+
+def test_html_region_comes_from_the_scan():
+    """Held-out pages with their markers hidden: what is inside the marker is found, and not without the scan."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    weights = html_extract.fit(pages[::2])
+    assert all(w <= 0 for w in weights.tags.values())
+
+    def f1(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+    found, whole, differ = [], [], 0
+    for p in pages[1::2]:
+        inner = re.search(r"<article>(.*)</article>", p, re.DOTALL)
+        assert inner
+        want = html_extract.main_text(inner[1], html_extract.NONE, scan=False)
+        got, off = html_extract.main_text(hidden(p), weights), html_extract.main_text(hidden(p), weights, scan=False)
+        found.append(f1(got, want))
+        whole.append(f1(off, want))
+        differ += got != off
+        assert html_extract.main_text(p, weights) == want
+    assert differ == len(found) and np.mean(found) > 0.99 > 0.975 > np.mean(whole)
+
+
+def test_best_region_is_that_of_brute_force():
+    rng = random.Random(9)
+    for _ in range(400):
+        scores = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        start, stop = html_extract.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[start:stop]) == max(best, 0) and (best > 0) == (stop > start)
+        if best > 0:  # the first of equals that doesn't begin with a stretch of no gain
+            assert start == min(i for i in range(len(scores)) for j in range(i + 1, len(scores) + 1) if sum(scores[i:j]) == best and all(sum(scores[i:k]) > 0 for k in range(i + 1, j + 1)))
+
+
+def test_html_takes_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        for page in ("<div>x" * n + "</section>" * n, "<td>x" * n + "</table>" * n, "<div><p class='a" * n, "<a " * n):
+            html_extract.main_text(page, html_extract.NONE)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16000) < 24 * max(seconds(2000), 0.02)
+
+
+def test_html_rows_are_rows_whatever_else_they_have(spark):
+    rows = [(i, None, f"<nav>a b</nav><article><p>text {i % 3} of the page</p></article>", "x", "y") for i in (1, 1, 2, 3, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert Counter(r.page_id for r in got.collect()) == {1: 2, 2: 1, 3: 1, None: 1} and {r.text for r in got.collect() if r.page_id == 1} == {"text 1 of the page"}
+
+
 # 1
 
 
