@@ -76,7 +76,7 @@ SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 #: APART_NAMES or hidden; name, an open element's name in a class or id; tag, an open element; block, the innermost one;
 #: header, in a header; marked and unmarked, in and outside the marker of a page that has one.
 MEANS = {"base": 0.8, "length": 0.3, "link": -1.0, "apart": -8.0, "header": -3.0, "marked": 1.0, "unmarked": -6.0, ("block", "h1"): 2.5}
-HOLDS = {"base": 30.0, "length": 5.0, "link": 5.0, "apart": 20.0, "header": 5.0, "name": 2.0, "tag": 10.0, "block": 10.0}
+HOLDS = {"base": 30.0, "length": 5.0, "link": 5.0, "apart": 20.0, "header": 5.0, "name": 2.0, "tag": 10.0, "block": 5.0}
 #: How often tags not met in the sample stand in articles and outside.
 TAG_PRIOR = (9.0, 1.0)
 #: What a stretch without a positive score may cost between two that have one; however long, a region may go on after it.

@@ -385,7 +385,7 @@ def test_html_takes_linear_time():
 
 
 def test_html_rows_are_rows_whatever_else_they_have(spark):
-    rows = [(i, None, f"<nav>a b</nav><article><p>text {i % 3} of the page</p></article>", "x", "y") for i in (1, 1, 2, 3, None)]
+    rows = [(i, None, f"<nav>a b</nav><article><p>text {(i or 0) % 3} of the page</p></article>", "x", "y") for i in (1, 1, 2, 3, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string"))
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert Counter(r.page_id for r in got.collect()) == {1: 2, 2: 1, 3: 1, None: 1} and {r.text for r in got.collect() if r.page_id == 1} == {"text 1 of the page"}
