@@ -502,6 +502,108 @@ def test_tool_calls(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_chats(rows, schemas):
+    """Counter of the results for rows (conv_id, turn, role, text), conversation by conversation."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == conv]
+        at = lambda r: (r[1] is None, r[1] or 0, digest(r))
+        parsed = {r: chat_format.parse(r[2], r[3], schemas) for r in own}
+        heads, answers = {}, {}
+        for r in sorted(set(own), key=at):
+            for k, c in enumerate(parsed[r][1]):
+                if c["problem"] != "malformed":
+                    heads.setdefault(c["id"], (r, k, c))
+            if parsed[r][2] is not None:
+                answers.setdefault(parsed[r][2], r)
+        needs = {i: c["refs"] for i, (_, _, c) in heads.items()}
+        facts = {}
+        left = set(heads)
+        while True:
+            ready = [i for i in left if all(n in facts or n not in heads for n in needs[i])]
+            if not ready:
+                break
+            for i in ready:
+                turn, has = heads[i][0][1], answers.get(i)
+                known = [facts[n] for n in needs[i] if n in heads]
+                level = max([f[0] for f in known] + [0 for n in needs[i] if n not in heads], default=-1) + 1
+                before = max((x for x in [turn, *(f[2] for f in known)] if x is not None), default=None)
+                after = max((x for x in [before, has[1] if has else None] if x is not None), default=None)
+                facts[i] = (level, before, after, has is not None and all(n in heads and facts[n][3] for n in needs[i]))
+            left -= set(ready)
+        top = lambda *xs: max((x for x in xs if x is not None), default=None)
+        for r in own:
+            content, calls, result_of = parsed[r]
+            shown, n_ok, turns, levels = [], 0, [], []
+            for k, c in enumerate(calls):
+                head = c["problem"] != "malformed" and heads[c["id"]][:2] == (r, k)
+                fact = facts.get(c["id"]) if head else None
+                if head and fact:
+                    turns.append(fact[1])
+                    levels.append(fact[0])
+                status = "malformed" if c["problem"] == "malformed" else "duplicate_id" if not head else c["problem"] or ("cycle" if not fact else "ok" if fact[3] else "missing_result")
+                n_ok += status == "ok"
+                shown.append(f'{{"arguments":{c["arguments"]},"id":{c["id"] or "null"},"name":{c["name"] or "null"},"status":"{status}"}}')
+            step, of_turn, linked = 2 * max(levels) if levels else 0, None, None
+            if result_of is not None:
+                linked = result_of in heads and answers[result_of] == r
+                if result_of in heads:
+                    f = facts.get(result_of)
+                    of_turn, step = (f[1] if f else None), 2 * (f[0] if f else 0) + 1
+            line = "{" + (f'"calls":[{",".join(shown)}],' if calls else "") + f'"content":{content},"role":{json.dumps(r[2], ensure_ascii=False)}' + (f',"tool_call_id":{result_of}' if result_of is not None else "") + f',"turn":{json.dumps(r[1])}}}'
+            out.append((r[0], r[1], r[2], top(r[1], *turns, of_turn), step, len(calls), n_ok, linked, line))
+    return Counter(out)
+
+
+def digest(r):
+    import hashlib
+
+    part = lambda x: "-" if x is None else f"{len(str(x))}:{x}"
+    return hashlib.sha256("".join(map(part, r[1:])).encode()).hexdigest()
+
+
+def test_tool_calls_as_brute_force_has_them(spark):
+    rng = random.Random(11)
+    rows = []
+    for conv in [None, *range(60)]:
+        ids = [f"c{i}" for i in range(rng.randint(1, 25))] + ["\ud800", "\\ud800", 'é"']
+        for turn in range(rng.randint(5, 60)):
+            turn = rng.choice([turn, turn, turn, None])
+            kind = rng.random()
+            if kind < 0.5:
+                calls = []
+                for _ in range(rng.randint(1, 3)):
+                    refs = {k: {"$result": rng.choice([*ids, "none"])} for k in rng.sample("xyz", rng.choice([0, 0, 1, 1, 2]))}
+                    calls.append("<tool_call>" + json.dumps({"id": rng.choice(ids), "name": rng.choice(["add", "add", "add", "mul"]), "arguments": {"x": 1, **{k: v for k, v in refs.items() if k != "z"}}}) + "</tool_call>")
+                rows.append((conv, turn, "assistant", "say " + "".join(calls)))
+            elif kind < 0.9:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "none"]), "content": rng.choice([1, "a", None, {"b": [2.5]}, "\udfff"])})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", None]), rng.choice([None, "", "hi\n\"there\""])))
+    chain = [(1000, 2 * i, "assistant", call(f"n{i}", "add", x={"$result": f"n{i - 1}"} if i else 1)) for i in range(40)] + [(1000, 2 * i + 1, "tool", result(f"n{i}", i)) for i in range(40)]
+    ring = [(1001, i, "assistant", call(f"n{i}", "add", x={"$result": f"n{(i + 1) % 7}"})) for i in range(7)] + [(1001, 9, "assistant", call("m", "add", x={"$result": "n3"}, y={"$result": "k"})), (1001, 10, "assistant", call("k", "add", x=1))]
+    diamonds = [(1002, i, "assistant", call(f"n{i}", "add", x={"$result": f"n{max(0, i - 1)}"}, y={"$result": f"n{max(0, i - 2)}"}) if i else call("n0", "add", x=1)) for i in range(12)]
+    rows += chain + ring + diamonds + rng.sample(chain, 5) + rng.sample(rows, 50)
+    for text in ("NaN", "1e999", "-Infinity"):
+        rows += [(1003, 1, "assistant", '<tool_call>{"id": "a", "name": "add", "arguments": {"x": ' + text + "}}</tool_call>"), (1003, 2, "tool", '{"tool_call_id": "a", "content": ' + text + "}")]
+    rows.append((1004, 1, "assistant", call("a", "add", x=1) + "word " * 50000))
+    rng.shuffle(rows)
+    got = chat_format.format_chats(spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, msg string, k int").repartition(4), SCHEMAS).collect()
+    assert Counter(map(tuple, got)) == brute_chats(rows, SCHEMAS)
+    for r in got:
+        parsed = json.loads(r.json, parse_constant=lambda c: pytest.fail(c))
+        assert chat_format.canonical(parsed) == r.json
+    status = {(r.conv_id, r.turn): [c["status"] for c in json.loads(r.json).get("calls", [])] for r in got}
+    assert status[1000, 78] == ["ok"] and status[1001, 0] == status[1001, 9] == ["cycle"] and status[1003, 1] == ["malformed"]
+
+
+def test_schemas_that_cannot_be_read_raise_at_once(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for schema in ({"properties": {"a": {"pattern": "("}}}, {"type": "text"}, {"items": 3}):
+        with pytest.raises(ValueError):
+            chat_format.format_chats(rows, {"t": schema})
+
+
 @pytest.mark.parametrize(
     ("value", "schema", "ok"),
     [
