@@ -431,35 +431,84 @@ def test_gradients_are_those_of_the_loss():
 # 9
 
 
-def test_lm_scores(docs, rows, none):
+def test_lm_scores(docs, rows, none, monkeypatch):
     train = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10]
     tokens = lambda t: [*words((t or "").translate(LOW)), ""]
     counts = Counter(w for r in train for w in tokens(r[1]))
     n, v = sum(counts.values()), len(counts)
     base = lambda t: sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
     want = sorted(((r[0] is None, r[0] or 0), len(tokens(r[1])), sum(counts[w] > 0 for w in tokens(r[1])), n, round(base(r[1]), 3)) for r in rows)
-    for kept, top in ((131_072, 63), (40, 10)):
-        got = lm_scoring.score(docs, kept=kept, top=top, classes=8).collect()
+    fitted, fit = [], lm_scoring.fit
+    for kept, top, least, share in ((131_072, 63, 2, 2_000_000), (40, 10, 1, 400)):  # the small share trains in several tasks
+        monkeypatch.setattr(lm_scoring, "fit", lambda *a, s=share: fitted.append(fit(*a, s)) or fitted[-1])
+        got = lm_scoring.score(docs, kept=kept, top=top, classes=8, least=least).collect()
         assert [x[:4] for x in sorted((key(r), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got)] == [x[:4] for x in want]
         assert np.allclose(sorted(r.base_score for r in got), sorted(base(r[1]) for r in rows))
         assert sum(r.score for r in got) > sum(r.base_score for r in got)
+        again = plain_scorer(fitted[-1][0], counts, n, v)
+        by_id = {r.doc_id: r.score for r in got}
+        for r in rows[:12] + rows[60:64] + rows[75:79]:
+            assert by_id[r[0]] == pytest.approx(again(tokens(r[1])), rel=1e-4), r
     assert lm_scoring.score(none).count() == 0
 
 
+def plain_scorer(scorer, counts, n, distinct):
+    """The log10 probability of tokens, word by word, from a model's numbers and the words' counts."""
+    v, m = scorer.v, scorer.m
+    node_of = {w: int(v.node[i]) for w, i in v.words.items()}
+    node = lambda w: node_of[w.encode()] if w.encode() in node_of else v.other(w.encode())
+    own = {w for w in counts if w.encode() in node_of and (w == "" or node_of[w.encode()] != v.other(w.encode()))}
+    rest = Counter()
+    for w, c in counts.items():
+        if w not in own:
+            rest[node(w)] += c + 0.1
+
+    def chosen(h, vectors, biases, k):
+        s = [float(np.dot(h, q)) + float(b) for q, b in zip(vectors, biases)]
+        return s[k] - max(s) - np.log(sum(np.exp(x - max(s)) for x in s))
+
+    def total(tokens):
+        nodes, out = [node("")] * lm_scoring.CONTEXT, 0.0
+        for w in tokens:
+            h = sum(m.r[nodes[-1 - j]] @ m.c[j] for j in range(lm_scoring.CONTEXT))
+            k = node(w)
+            c = int(v.kind[k])
+            a, b = int(v.starts[c]), int(v.starts[c + 1])
+            out += (chosen(h, m.q, m.b, c) + chosen(h, m.qw[a:b], m.bw[a:b], k - a)) / np.log(10)
+            if w not in own:
+                out += np.log10((counts[w] + 0.1) / (rest[k] + 0.1))
+            nodes.append(k)
+        return out
+
+    return total
+
+
 def test_lm_probabilities_sum_to_one(spark):
     rng = random.Random(8)
-    docs = spark.createDataFrame([(i, prose(rng, 30, "en" if i % 2 else "fr")) for i in range(80)], "doc_id long, text string")
-    m, counts = lm_scoring.fit(docs, 50, 12, 4)
-    assert np.allclose((10 ** m.logp.reshape(-1, m.nodes)).sum(1), 1, atol=1e-4)
-    mass = np.zeros(m.nodes)
-    unseen = 10 ** m.log10(0)
+    docs = spark.createDataFrame([(i, prose(rng, 60, "en" if i % 2 else "fr")) for i in range(120)], "doc_id long, text string")
+    scorer, counts = lm_scoring.fit(docs, 60, 40, 6, 4, 3)
+    v, nodes = scorer.v, np.arange(scorer.v.nodes)
+    for _ in range(20):
+        before = np.array([[rng.randrange(v.nodes) for _ in range(lm_scoring.CONTEXT)]] * v.nodes)
+        assert (10 ** scorer.log_probabilities(nodes, before)).sum() == pytest.approx(1, abs=1e-4)
+    mass = np.zeros(v.nodes)
+    unseen = 10 ** v.log10(0)
     for r in counts.collect():
         w = r.word.encode()
-        number = lm_scoring.numbered([w], m.words)
-        k = lm_scoring.nodes_of([w], number, m.node, m.top, m.classes)[0]
-        mass[k] += 10 ** (m.log10(r.c) - m.log_share[k])
-    mass[m.top + 1 :] += unseen / 10 ** m.log_share[m.top + 1 :]
-    assert np.allclose(mass[mass > 0], 1)
+        k = lm_scoring.nodes_of([w], lm_scoring.numbered([w], v.words), v)[0]
+        mass[k] += 10 ** (v.log10(r.c) - scorer.share[k])
+    last = v.starts[v.singles + 1 :] - 1
+    mass[last] += unseen / 10 ** scorer.share[last]
+    assert np.allclose(mass, 1)
+
+
+def test_lm_learns_what_follows_what(spark):
+    """Words that only follow each other become likely after each other, on texts not learned from."""
+    rng = random.Random(10)
+    text = lambda: " ".join(w for _ in range(60) for w in rng.choice([["aa", "bb", "cc"], ["dd", "ee"], ["ff", "gg", "hh", "ii"]]))
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    got = [r for r in lm_scoring.score(docs, top=2, classes=2, least=5).collect() if r.held_out]
+    assert sum(r.score for r in got) / sum(r.base_score for r in got) < 0.7
 
 
 # 7
@@ -613,3 +662,4 @@ def test_schemas_that_cannot_be_read_raise_at_once(spark):
 )
 def test_schemas(value, schema, ok):
     assert chat_format.valid(value, schema) is ok
+
