@@ -9,9 +9,13 @@ of their leader, and leaders of each other, if enough of their signatures agree.
 the leaders of the regions at their ends meet in a second, small step.
 
 Candidates only say which classes may be linked at all: their connected groups. Links are confirmed on the full sets,
-within each group: every pair that may reach the threshold is compared exactly, and gives a link unless its classes
-are linked already. A group with more shingles than `GROUP` is dealt into blocks, and tasks compare pairs of blocks.
-No step emits the pairs of a group, and there is no cap on members or partners.
+within each group: every pair that may reach the threshold is compared exactly, unless its classes are linked already. A
+group with more than `MEMBERS` classes or `GROUP` shingles is dealt into blocks. Each block is linked in itself, and
+leaves a representative of each part that it falls into; representatives are dealt into blocks in the same way, until one
+block holds those of a group or a pass joins none. Only where a group is in several parts even then, blocks meet: those
+of its largest part meet the blocks of all the rest, and the rest's blocks each other. So copies of one text, however many,
+cost one comparison with their block and a few of representatives. No step emits the pairs of a group, and there is no
+cap on members or partners.
 
 A pair at the threshold of 0.85 is in no common region with a chance of 0.28 ** 12, some 2e-7, where regions aren't
 crowded.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ASCII_LOWER, batches, materialise, one_of_each
+from keyfold.llm.common import ASCII_LOWER, batches, freed_but, materialise, one_of_each
 from keyfold.llm.components import UnionFind, components
 
 TREES, DEPTH = 12, 4
@@ -42,8 +46,8 @@ SLOTS = TREES * DEPTH
 NEAR, MAYBE = 36, 24
 #: Leaders of a region from which it goes deeper.
 CROWD = 256
-#: Shingles of a group, or of a block of a larger one, that are compared in one task.
-GROUP = 400_000
+#: Shingles and classes of a group, or of a block of a larger one, that are compared in one task, about.
+GROUP, MEMBERS = 100_000, 250
 NO_ID = 2**63 - 1
 CACHE_WORDS = 200_000
 
@@ -232,11 +236,12 @@ def grow(it: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(it: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, p, q, block, id, text), a group's together, to links (a, b) between its classes."""
-    now, ids, blocks, sets = None, [], [], []
+    """Rows (grp, p, q, side, part, id, text), those of a meeting (grp, p, q) together, to links (a, b). Classes of the
+    same part are linked already; where a meeting is of two blocks, those of the same side aren't compared."""
+    now, ids, sides, parts, sets = None, [], [], [], []
 
     def out() -> Iterator[pa.RecordBatch]:
-        found = linked(ids, blocks if now[1] != now[2] else None, sets, percent)
+        found = linked(ids, sides if now[1] != now[2] else None, sets, percent, parts)
         a, b = found.links()
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -244,49 +249,56 @@ def confirm(it: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[p
     for batch in batches(it, 2000, 2 << 20):
         marks = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "p", "q"))))
         new = shingle_sets(batch.column("text").to_pylist(), size)
-        for mark, doc, block, s in zip(marks, batch.column("id").to_pylist(), batch.column("block").to_pylist(), new):
+        for mark, doc, side, part, s in zip(marks, *(batch.column(c).to_pylist() for c in ("id", "side", "part")), new):
             if mark != now:
                 if now is not None:
                     yield from out()
-                now, ids, blocks, sets = mark, [], [], []
+                now, ids, sides, parts, sets = mark, [], [], [], []
             if len(s):
                 ids.append(doc)
-                blocks.append(block)
+                sides.append(side)
+                parts.append(part)
                 sets.append(s)
     if now is not None:
         yield from out()
     _words.clear()
 
 
-def linked(ids: list[int], blocks: list[int] | None, sets: list[np.ndarray], percent: int) -> UnionFind:
-    """Links all pairs whose sets are similar enough; with blocks, only those of different blocks."""
+def linked(ids: list[int], sides: list[int] | None, sets: list[np.ndarray], percent: int, parts: list[int] | None = None) -> UnionFind:
+    """Links all pairs whose sets are similar enough, but for those in one part, or linked by others; with sides, only
+    those of different sides."""
     found = UnionFind()
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     if len(order) < 2:
         return found
     ids = [ids[i] for i in order]
     sizes = np.array([len(sets[i]) for i in order])
-    side = np.array([blocks[i] for i in order]) if blocks else None
+    side = np.array([sides[i] for i in order]) if sides else None
     labels, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flag = np.zeros(len(labels), np.uint8)
     first = np.searchsorted(sizes * 100, percent * sizes)  # shorter sets can't reach the threshold
-    roots = np.arange(len(ids))  # of sets linked so far, by place
+    # what is linked so far, by place
+    roots = np.unique([parts[i] for i in order], return_inverse=True)[1] if parts else np.arange(len(ids))
     for i in range(1, len(ids)):
         lo = int(first[i])
-        if lo >= i or (roots[lo:i] == roots[i]).all():
+        if lo >= i:
+            continue
+        other = np.flatnonzero(roots[lo:i] != roots[i] if side is None else (roots[lo:i] != roots[i]) & (side[lo:i] != side[i])) + lo
+        if not len(other):
             continue
         own = codes[starts[i] : starts[i + 1]]
         flag[own] = 1
-        same = np.add.reduceat(flag[codes[starts[lo] : starts[i]]], starts[lo:i] - starts[lo], dtype=np.int64)
+        if 2 * len(other) > i - lo:
+            same = np.add.reduceat(flag[codes[starts[lo] : starts[i]]], starts[lo:i] - starts[lo], dtype=np.int64)[other - lo]
+        else:
+            same = np.array([flag[codes[starts[j] : starts[j + 1]]].sum(dtype=np.int64) for j in other.tolist()])
         flag[own] = 0
-        hit = 100 * same >= percent * (sizes[lo:i] + sizes[i] - same)
-        if side is not None:
-            hit &= side[lo:i] != side[i]
-        for j in np.flatnonzero(hit).tolist():
-            found.join(ids[i], ids[lo + j])
-            if roots[lo + j] != roots[i]:
-                roots[roots == roots[lo + j]] = roots[i]
+        hit = 100 * same >= percent * (sizes[other] + sizes[i] - same)
+        for j in other[hit].tolist():
+            if roots[j] != roots[i]:
+                found.join(ids[i], ids[j])
+                roots[roots == roots[j]] = roots[i]
     return found
 
 
@@ -302,6 +314,66 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return found.filter("b is not null").select("a", "b").union(more.select("a", "b"))
 
 
+def _meet(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """rows: grp, p, q, side, part, id, text. A materialised table of the links that their meetings give."""
+    dealt = rows.select("grp", "p", "q", "side", "part", "id", "text").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    return materialise(dealt.mapInArrow(lambda it: confirm(it, size, percent), "a long, b long"), "met")
+
+
+def _blocks(n: str = "n") -> Column:
+    return F.greatest(F.ceil(F.sum(n) / GROUP), F.ceil(F.count(F.lit(1)) / MEMBERS), F.lit(1)).cast("int")
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """(id, part) of all classes in links: the least one that they are linked with."""
+    roots = components(links)
+    return materialise(roots.select(F.col("node").alias("id"), F.col("root").alias("part")).union(roots.select(F.col("root").alias("id"), F.col("root").alias("part")).distinct()), "parts")
+
+
+def confirmed_links(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """texts: a materialised table (grp, id, n, text) of the classes of candidate groups, n: the size of their sets. Links
+    (a, b) that connect all classes of a group that are connected by pairs over the threshold."""
+    block = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")
+    now, level, links = texts.select("grp", "id", "n"), 0, None
+    while True:
+        blocks = materialise(now.groupBy("grp").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("members")), "blocks")
+        some = texts if level == 0 else texts.join(now.select("id"), "id", "left_semi")
+        dealt = some.join(blocks.drop("members"), "grp").withColumn("p", block(level))
+        found = _meet(dealt.select("grp", "p", F.col("p").alias("q"), F.lit(0).alias("side"), F.col("id").alias("part"), "id", "text"), size, percent)
+        links = found if links is None else links.union(found)
+        large = blocks.filter("blocks > 1").select("grp", "members")
+        if not large.limit(1).count():
+            break
+        # a block's links are stars, so what isn't a node of one stands for its part
+        stay = now.join(large, "grp").join(found.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        left = materialise(stay.select("grp", "id", "n", "members"), "representatives")
+        shrinks = left.groupBy("grp").agg(F.count(F.lit(1)).alias("now"), F.max("members").alias("before")).filter("now < before and now > 1").select("grp")
+        level, now = level + 1, materialise(left.join(shrinks, "grp", "left_semi").drop("members"), "representatives")
+        if not now.limit(1).count():
+            break
+    # groups of several blocks that are still in parts
+    first = texts.groupBy("grp").agg(_blocks().alias("blocks")).filter("blocks > 1").select("grp")
+    wide = materialise(texts.join(first, "grp", "left_semi").select("grp", "id", "n"), "wide")
+    if not wide.limit(1).count():
+        return links
+    part = wide.join(_parts(links), "id", "left").select("grp", "id", "n", F.coalesce("part", "id").alias("part"))
+    sizes = materialise(part.groupBy("grp", "part").agg(F.sum("n").alias("n")), "sizes")
+    split = sizes.groupBy("grp").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("grp", F.col("most.part").alias("most"))
+    part = materialise(part.join(split, "grp").select("grp", "id", "n", "part", (F.col("part") == F.col("most")).alias("main")), "wide")
+    if not part.limit(1).count():
+        return links
+    counts = part.groupBy("grp").agg(
+        F.greatest(F.ceil(F.sum(F.when(F.col("main"), F.col("n"))) / GROUP), F.ceil(F.count(F.when(F.col("main"), 1)) / MEMBERS), F.lit(1)).cast("int").alias("mains"),
+        F.greatest(F.ceil(F.sum(F.when(~F.col("main"), F.col("n"))) / GROUP), F.ceil(F.count(F.when(~F.col("main"), 1)) / MEMBERS), F.lit(1)).cast("int").alias("rests"),
+    )
+    # blocks of the rest are 0 to rests - 1, those of the main part come after
+    number = F.when(F.col("main"), F.col("rests") + F.pmod(F.xxhash64("id", F.lit(-1)), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id", F.lit(-1)), F.col("rests"))).cast("int")
+    other = F.when(F.col("main"), F.sequence(F.lit(0), F.col("rests") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1))
+    dealt = part.join(counts, "grp").select("id", "part", number.alias("side"), F.explode(other).alias("other"))
+    rows = texts.drop("n").join(dealt, "id").select("grp", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "part", "id", "text")
+    return links.union(_meet(rows, size, percent))
+
+
 def mark_of(text: Column) -> Column:
     """What tells rows with the same id, or none, apart."""
     return F.xxhash64(text.cast("binary"))
@@ -316,25 +388,24 @@ def judged(docs: DataFrame, percent: int, size: int, doc_id: str = "doc_id", tex
     """near_components with the mark of each row's text and whether its id and mark are the ones that stand for the
     component (one); and the pairs of id and mark that several rows have, as _key."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), mark_of(F.col(text)).alias("mark"), F.col(text).cast("binary").alias("text"))
-    found = materialise(rows.mapInArrow(lambda it: features(it, size), FEATURES), "features")
-    repeats = materialise(found.groupBy("doc_id", "mark").count().filter("count > 1").select(F.struct("doc_id", "mark").alias("_key")), "repeats")
-    classes = found.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("slots").alias("slots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = materialise(classes.withColumn("id", F.xxhash64("set_key")), "classes")
-    groups = components(candidate_links(classes))
-    groups = materialise(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    members = classes.select("id", "n", "least").join(groups.withColumnRenamed("node", "id"), "id")
-    weights = members.groupBy("root").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks"))
-    members = members.join(weights, "root").select("id", F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("least.doc_id").alias("_doc"), F.col("least.mark").alias("_mark"))
-    texts = rows.filter("text is not null").join(members.distinct(), (rows["doc_id"] == F.col("_doc")) & (rows["mark"] == F.col("_mark")))
-    texts = texts.select(F.struct("doc_id", "mark").alias("_key"), F.struct("grp", "blocks", "block", "id", "text").alias("_row"))
-    texts = one_of_each(texts, "_key", repeats, F.lit(0)).select("grp", "block", "id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = texts.select("grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "text")
-    pairs = pairs.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
-    links = pairs.mapInArrow(lambda it: confirm(it, size, percent), "a long, b long")
-    roots = components(links).withColumnRenamed("node", "id")
-    roots = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
-    linked = materialise(classes.select("id", "least").join(roots, "id"), "linked")  # written, as is best, so joins on hot roots can be split
-    best = materialise(linked.groupBy("root").agg(F.min("least").alias("best")), "best")
+    keep: list[DataFrame] = []
+    with freed_but(keep):
+        found = materialise(rows.mapInArrow(lambda it: features(it, size), FEATURES), "features")
+        repeats = materialise(found.groupBy("doc_id", "mark").count().filter("count > 1").select(F.struct("doc_id", "mark").alias("_key")), "repeats")
+        classes = found.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("slots").alias("slots"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+        classes = materialise(classes.withColumn("id", F.xxhash64("set_key")), "classes")
+        groups = components(candidate_links(classes))
+        groups = materialise(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+        members = classes.select("id", "n", "least").join(groups.withColumnRenamed("node", "id"), "id")
+        members = members.select("id", "n", F.col("root").alias("grp"), F.col("least.doc_id").alias("_doc"), F.col("least.mark").alias("_mark"))
+        texts = rows.filter("text is not null").join(members, (rows["doc_id"] == F.col("_doc")) & (rows["mark"] == F.col("_mark")))
+        texts = texts.select(F.struct("doc_id", "mark").alias("_key"), F.struct("grp", "id", "n", "text").alias("_row"))
+        texts = materialise(one_of_each(texts, "_key", repeats, F.lit(0)), "texts")
+        links = confirmed_links(texts, size, percent)
+        roots = _parts(links).withColumnRenamed("part", "root")
+        linked = materialise(classes.select("id", "least").join(roots, "id"), "linked")  # written, as is best, so joins on hot roots can be split
+        best = materialise(linked.groupBy("root").agg(F.min("least").alias("best")), "best")
+        keep += [found, repeats, classes, linked, best]
     of_class = classes.select("set_key", "id", "least").join(linked.join(best, "root").select("id", "best"), "id", "left").select("set_key", F.coalesce("best", "least").alias("best"))
     out = found.select("doc_id", "mark", "n_shingles", "set_key").join(of_class, "set_key", "left")
     real = lambda c: F.when(c != NO_ID, c)

@@ -46,6 +46,29 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f JOIN verdicts ON f.host IS NOT DISTINCT FROM verdicts.host
 """
 
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b USING (shingle) WHERE a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(r, o) AS (
+  SELECT DISTINCT a, a FROM both_ways UNION SELECT reach.r, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.o
+), least AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
@@ -72,4 +95,4 @@ WITH d AS (
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN n USING (rank, key)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2, "op3_host_rules": OP3, "op8_fair_mixing": OP8}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2, "op3_host_rules": OP3, "op4_forest_near_dedup": OP4, "op8_fair_mixing": OP8}

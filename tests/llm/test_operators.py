@@ -284,8 +284,9 @@ def brute_components(rows, percent=85, size=5):
 def test_near_components(docs, rows, none, monkeypatch):
     found = brute_components(rows)
     want = Counter((None if k[0] else k[1], len(s), None if c[0] else c[1], c == k) for k, s, c in found)
-    for group, crowd in ((near_dedup.GROUP, near_dedup.CROWD), (150, 2)):  # the small ones deal groups into blocks
+    for group, members, crowd in ((near_dedup.GROUP, near_dedup.MEMBERS, near_dedup.CROWD), (150, 3, 2)):  # the small ones deal groups into blocks
         monkeypatch.setattr(near_dedup, "GROUP", group)
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
         monkeypatch.setattr(near_dedup, "CROWD", crowd)
         assert Counter(map(tuple, near_dedup.near_components(docs).collect())) == want
     assert near_dedup.near_components(none).count() == 0
@@ -293,6 +294,36 @@ def test_near_components(docs, rows, none, monkeypatch):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(None if k[0] else k[1] for k, _, c in found if c == k)
 
 
+def test_groups_in_blocks_lose_no_link(spark, monkeypatch):
+    """Chains of near copies, each like the next only, and crowds around a text: candidates find them, and blocks, their
+    representatives and what meets in the end link just what brute force links."""
+    rng = random.Random(12)
+    rows, n = [], 0
+    for chain in range(6):
+        w = prose(rng, 150).split()
+        for _ in range(60):
+            w = list(w)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"n{n}x{rng.randrange(10**6)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    base = prose(rng, 150).split()
+    for _ in range(250):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"n{n}"
+        rows.append((n, " ".join(w)))
+        n += 1
+    rng.shuffle(rows)
+    want = {k[1]: c[1] for k, _, c in brute_components(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for members in (250, 7):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs).collect()}
+        missed = sum(got[i] != c for i, c in want.items())
+        assert missed == 0, missed
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(50)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
