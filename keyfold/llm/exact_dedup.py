@@ -1,11 +1,12 @@
 """Exact dedup with Patricia tries.
 
 Texts are the same when equal without white space. Each map task runs a combiner: a compressed radix trie over whole
-normalised byte strings whose terminal nodes hold the best owner so far and the number of texts. When a trie holds
-more than its budget, its heaviest subtree leaves as partial owners into the shuffle, which is how it spills: nothing
-is written outside Spark. Partial owners are dealt by length and content hash, so a group with a third of all rows is
-one row from each map task. Reduce tasks read their rows ordered by that key and insert the strings of a key into a
-trie of their own, which tells apart different texts even under equal hashes.
+normalised byte strings whose terminal nodes hold the best owner so far and the number of texts. Partial owners are dealt
+to partitions by length and content hash, so a group with a third of all rows is one row from each map task. A reduce task
+inserts the full strings of its partition into a trie of its own, in the order of lengths and hashes: texts are told apart
+by their bytes. When a trie holds more than its budget after an insertion, its heaviest subtree leaves: in a map task as
+partial owners into the shuffle, which is how it spills; in a reduce task, where rows of a text come together, as the
+owners of texts that are complete. Nothing is written outside Spark.
 
 Only (id, digest) pairs are shuffled to bring owners back to all rows; that join is an ordinary one, whose hot keys
 adaptive execution splits.
@@ -131,35 +132,37 @@ def combine(it: Iterator[pa.RecordBatch], budget: int = TRIE_BYTES) -> Iterator[
     for b in it:
         for doc, norm, points in zip(b.column("doc_id").to_pylist(), b.column("norm"), b.column("points").to_pylist()):
             trie.insert(norm.as_py(), _best(points, doc))
-        while trie.size() > budget and trie.held:
-            yield from out(trie.take(trie.heaviest()))
+            while trie.size() > budget and trie.held:
+                yield from out(trie.take(trie.heaviest()))
     yield from out(trie.take())
 
 
-def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The reduce side: partial owners, ordered by length and digest, to one owner per text."""
+def settle(it: Iterator[pa.RecordBatch], budget: int = TRIE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The reduce side: a partition's partial owners, ordered by length and digest, to one owner per text."""
+    import hashlib
+
     trie, now, rows = PatriciaTrie(), None, []
 
-    def done() -> None:
-        found = list(trie.take())
-        if len(found) > 1:
-            raise ValueError(f"different texts of length {now[0]} share the digest {now[1]}")
-        rows.extend((now[1], _id(best), n) for _, best, n in found)
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OWNERS.types)], schema=OWNERS)
+        rows.clear()
+        return out
+
+    def done(first: int | None = None) -> None:
+        rows.extend((hashlib.sha256(norm).hexdigest(), _id(best), n) for norm, best, n in trie.take(first))
 
     for b in it:
         for size, sha, norm, points, owner, n in zip(*(b.column(c).to_pylist() if c != "norm" else b.column(c) for c in PARTIAL.names)):
-            if (size, sha) != now:
-                if now is not None:
-                    done()
+            if (size, sha) != now:  # the texts in the trie are complete
+                while trie.size() > budget and trie.held:
+                    done(trie.heaviest())
                 now = (size, sha)
             trie.insert(norm.as_py(), _best(points, owner), n)
-        if len(rows) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OWNERS.types)], schema=OWNERS)
-            rows = []
-    if now is not None:
-        done()
+            if len(rows) >= 10_000:
+                yield batch()
+    done()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OWNERS.types)], schema=OWNERS)
+        yield batch()
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -177,7 +180,7 @@ def trie_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bud
     """One row per distinct normalised text: sha, keep_id, group_size."""
     partial = normalised(docs, doc_id, text).mapInArrow(lambda it: combine(it, budget), _ddl(PARTIAL))
     dealt = partial.repartition("len", "sha").sortWithinPartitions("len", "sha")
-    return dealt.mapInArrow(settle, _ddl(OWNERS))
+    return dealt.mapInArrow(lambda it: settle(it, budget), _ddl(OWNERS))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
