@@ -135,11 +135,13 @@ def host_quality(docs: DataFrame, limits: HostLimits = HostLimits(), doc_id: str
 def keep_good(docs: DataFrame, limits: HostLimits = HostLimits()) -> DataFrame:
     """The rows of docs whose text passes the base rules and whose host isn't blocked, with their own columns only.
 
-    The rules are computed a second time rather than shuffling texts to meet their verdicts.
+    Rules are computed once: rows that pass the base rules are written with their host, those that don't without
+    their columns, as they only count for their host.
     """
     columns = docs.columns
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col("text").alias("text"), F.col("source").alias("source"))
-    judged = materialise(with_rules(plain.select("text", "source"), limits).select("_host", "_failed"), "rules")
+    rows = with_rules(plain, limits).select(F.when(~F.col("_base_failed"), F.col("_row")).alias("_row"), "_host", "_base_failed", "_failed")
+    judged = materialise(rows, "judged")
     blocked = materialise(host_verdicts(judged, limits).filter("blocked").select(F.struct("_host").alias("_key")), "blocked")
-    good = with_rules(plain, limits).filter(~F.col("_base_failed")).withColumn("_key", F.struct("_host")).select("_row", "_key")
+    good = judged.filter("not _base_failed").withColumn("_key", F.struct("_host")).select("_row", "_key")
     return join_small(good, blocked, ["_key"], "left_anti").select("_row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyfold.llm import chat_format, exact_dedup, host_rules, html_extract, language_id, lm_scoring, mixing, near_dedup, packing, token_counts
 from keyfold.llm.common import table
@@ -36,7 +37,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.host_quality(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+    return host_rules.host_quality(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op4_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
