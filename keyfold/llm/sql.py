@@ -39,10 +39,10 @@ WITH d AS (
   SELECT mean, CASE WHEN var - mean * (1 - mean) * inv <= 0 THEN 1000.0
     ELSE least(1000.0, greatest(2.0, mean * (1 - mean) / (var - mean * (1 - mean) * inv) - 1)) END AS weight FROM fit
 ), verdicts AS (
-  SELECT host, (bad + mean * weight) / (n + weight) > 0.5 AS blocked FROM hosts, prior
+  SELECT host, (bad + mean * weight) / (n + weight) AS rate, (bad + mean * weight) / (n + weight) > 0.5 AS blocked FROM hosts, prior
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, base_failed, (NOT base_failed AND NOT blocked) AS kept
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, (NOT base_failed AND NOT blocked) AS kept, f.host, round(rate, 6) AS host_rate
 FROM f JOIN verdicts ON f.host IS NOT DISTINCT FROM verdicts.host
 """
 
@@ -71,7 +71,7 @@ FROM d LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
 
 OP8 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) || md5(coalesce(text, '')) AS key FROM documents
 ), s AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM d GROUP BY source
 ), w AS (
@@ -82,17 +82,19 @@ WITH d AS (
 ), t AS (
   SELECT source, rank, source_size, CASE WHEN level > ratio THEN most::DOUBLE ELSE max(CASE WHEN level <= ratio THEN level END) OVER () * weight END AS target FROM l
 ), q AS (
-  SELECT d.*, rank, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  SELECT d.*, rank, source_size, target, row_number() OVER () AS r, sum(size) OVER (PARTITION BY rank ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT doc_id, rank, key, size, e, (cum + e * source_size)::DOUBLE / target AS f FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0
+  SELECT r, rank, cum, size, e, (cum + e * source_size)::DOUBLE / target AS f FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0
 ), taken AS (
-  SELECT rank, key, e, run <= (SELECT sum(size) FROM d) AS taken
-  FROM (SELECT *, sum(size) OVER (ORDER BY f, rank, key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
+  SELECT r, run <= (SELECT sum(size) FROM d) AS taken
+  FROM (SELECT *, sum(size) OVER (ORDER BY f, rank, cum, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
 ), n AS (
-  SELECT rank, key, count(DISTINCT e) AS copies FROM taken WHERE taken GROUP BY rank, key
+  SELECT r, count(*) AS copies FROM taken WHERE taken GROUP BY r
 )
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN n USING (rank, key)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken,
+  CASE WHEN size > 0 THEN cum::DOUBLE / target END AS finish
+FROM q LEFT JOIN n USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2, "op3_host_rules": OP3, "op4_forest_near_dedup": OP4, "op8_fair_mixing": OP8}

@@ -71,7 +71,7 @@ def test_exact_dedup(docs, rows, none):
         groups.setdefault(norm(r[1]), []).append(r)
     best = {k: min(g, key=lambda r: (-len(r[1] or ""), *key(r)))[0] for k, g in groups.items()}
     want = Counter((r[0], best[norm(r[1])], len(groups[norm(r[1])]), r[0] == best[norm(r[1])], hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows)
-    for budget in (exact_dedup.TRIE_BYTES, 300):  # the small one spills nearly everything
+    for budget in (exact_dedup.TRIE_BYTES, 3000, 300):  # the small one spills nearly everything
         assert Counter(map(tuple, exact_dedup.exact_dedup(docs, budget=budget).collect())) == want
     assert exact_dedup.exact_dedup(none).count() == 0
     kept = exact_dedup.keep_first(docs)
@@ -125,6 +125,24 @@ def test_host_rules(docs, rows, none, spark):
     assert {r.doc_id: tuple(r)[1:6] for r in host_rules.host_quality(more).collect()} == {i: brute_rules(t) for i, t in ((1, rep), (2, rep * 3), (3, "p q r s t u v w " * 2))}
 
 
+def test_blocked_hosts_as_in_sql(spark):
+    """The query's SQL on a table in which hosts are blocked."""
+    import duckdb
+    from oracles import assert_same
+
+    from keyfold.llm.sql import OP3
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 60), f"http://h{i % 8}.org/{i}") for i in range(300)]
+    rows += [(300 + i, " ".join("#" + w for w in prose(rng, 60).split()) if i % 10 else prose(rng, 60), "https://me@BAD.org:80/x" if i % 2 else None) for i in range(80)] + [(999, "few words", "http://one.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = host_rules.host_quality(docs)
+    assert got.filter("not kept and not base_failed").count() > 50
+    assert_same(got.selectExpr("* except (host_rate)", "round(host_rate, 6) AS host_rate"), con, OP3)
+
+
 def test_bad_hosts_go_and_small_ones_are_not_judged_alone(spark):
     rng = random.Random(2)
     good = lambda: prose(rng, 60)
@@ -234,6 +252,7 @@ def test_mixing(docs, rows, none, monkeypatch):
     by_size = {sizes[s]: want[s] for s in sizes}
     for r in got:
         assert r.target == pytest.approx(by_size[r.source_size]) and r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        assert (r.finish is None) == (r.size == 0) and (not r.size or 0 < r.finish <= r.source_size / r.target)
     assert sum(r.taken for r in got) <= sum(sizes.values())
     assert mixing.mix(none).count() == 0
     taken = Counter()
@@ -243,6 +262,25 @@ def test_mixing(docs, rows, none, monkeypatch):
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == +taken
 
 
+@pytest.mark.parametrize("bucket", [mixing.BUCKET, 20])  # the small one spreads the rows of one key
+def test_mixing_cuts_between_rows_that_repeat(spark, monkeypatch, bucket):
+    """A third of all rows are one row without an id; targets are met all the same, and the stage takes as many."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rows = [(None, "one two three", "a")] * 400 + [(i, "w " * (i % 7 + 1), "b" if i % 2 else "c") for i in range(700)] + [(1, "w w", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(2)).collect()), key=str)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[s] - t) < 20 for s, t in target.items())
+    copies = Counter()
+    for r in got:
+        copies[r.doc_id, r.size] += r.taken // r.size
+    assert Counter((r.doc_id, len(words(r.text))) for r in mixing.take_mixed(docs).collect()) == +copies
+
+
 def test_mixing_comes_near_its_targets(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 40), f"s{i % 5 if i % 3 else 0}") for i in range(3000)]
