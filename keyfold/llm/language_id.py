@@ -2,16 +2,17 @@
 
 Texts are read in segments of `SEGMENT` bytes. A forward and a backward recurrent layer see every byte; each position
 gets its own distribution over the languages, and a document's probabilities are the mean over all its positions. The
-network is trained on the driver, in numpy, by backpropagation through time on short windows of a bounded sample:
-`per_lang` documents of each language, by hash of their ids, `windows` evenly placed windows of each. Every byte of
-every text is labelled when predicting.
+network is trained on the driver, in numpy, by backpropagation through time on short windows of a bounded sample: of
+the `most` most frequent languages, the `per_lang` documents with the smallest hashes of id and text, `windows` evenly
+placed windows of each. Every byte of every text is labelled when predicting.
 
 The model is a few thousand numbers and goes to the tasks with the function. A task holds a block of segments at a
 time, so long texts cost memory for a block only.
 
 Defined results: `und` with score 0 for a null text or one without letters. Rows that repeat and null ids are rows
 like others; a null id counts as the empty text where rows are split. Rows with a null language are never learned
-from; without any labelled row all texts are `und`. An empty table gives no rows.
+from; without any labelled row, or any window of one, all texts are `und`. An empty table gives no rows; of further columns
+none is read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import batches, crc_of_id
@@ -178,27 +179,35 @@ def pooled(m: BiGRU, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def sample_windows(docs: DataFrame, per_lang: int, windows: int) -> tuple[list[bytes], list[int], list[str]]:
-    """Windows of about per_lang training documents of each language: those with the smallest hashes of their ids."""
+def share_of(n: int, per_lang: int) -> int:
+    """Of 2 ** 62 hashes, those that leave about twice per_lang of n rows."""
+    return min(1 << 62, (2 * per_lang << 62) // max(1, n))
+
+
+def sample_windows(docs: DataFrame, per_lang: int, windows: int, most: int) -> tuple[list[bytes], list[int], list[str]]:
+    """Windows of up to per_lang training documents of each language: those with the smallest hashes. A share of hashes
+    is cut off first, so that only about twice the sample of a language is ranked."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_of_id(F.col("doc_id")) % 4 != 2))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     langs = sorted(counts)
-    share = lambda n: int(min(1.0, per_lang / n) * 1_000_000)
     if not langs:
         return [], [], []
-    limit = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, share(counts[k])))), F.col("lang"))
+    limits = docs.sparkSession.createDataFrame([(k, share_of(counts[k], per_lang)) for k in langs], "lang string, share long")
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     data = F.col("text").cast("binary")
     places = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(data, (i * F.greatest(F.length(data) - WINDOW, F.lit(0)) / max(1, windows - 1)).cast("int") + 1, F.lit(WINDOW)))
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).select("lang", "doc_id", places.alias("w")).orderBy("lang", "doc_id", "w").limit(2 * per_lang * len(langs)).collect()
+    some = rows.withColumn("h", h).join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("share")).select("lang", "h", places.alias("w"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "w"))
+    picked = some.withColumn("k", place).filter(F.col("k") <= per_lang).orderBy("lang", "k").collect()
     number = {k: i for i, k in enumerate(langs)}
     texts = [(bytes(w), number[r["lang"]]) for r in picked for w in r["w"] if w]
-    return [t for t, _ in texts], [k for _, k in texts], langs
+    return [t for t, _ in texts], [k for _, k in texts], langs if texts else []
 
 
-def identify(docs: DataFrame, per_lang: int = 500, windows: int = 6, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 500, windows: int = 6, most: int = 256, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    m = train(*sample_windows(rows, per_lang, windows))
+    m = train(*sample_windows(rows, per_lang, windows, most))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4000, 4 << 20):

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.llm import chat_format, components, exact_dedup, host_rules, html_extract, language_id, lm_scoring, mixing, near_dedup, packing, token_counts
 from keyfold.llm.queries import vocabulary
@@ -475,6 +476,34 @@ def test_language_id(docs, rows, none):
     assert language_id.identify(none).count() == 0
 
 
+def test_language_samples_are_even(spark):
+    """Shares at any size, rows without ids, and languages of very different sizes."""
+    assert language_id.share_of(10**9, 500) == (1000 << 62) // 10**9 > 0 < language_id.share_of(10**15, 500) and language_id.share_of(3, 500) == 1 << 62
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 30, "fr"), "aa")] * 3 + [(None, prose(rng, 30, "fr"), "aa") for _ in range(900)] + [(i, prose(rng, 30), "zz") for i in range(60)] + [(9000 + i, "xyz " * 20, f"l{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels, langs = language_id.sample_windows(docs, 40, 2, 256)
+    n = Counter(langs[k] for k in labels)
+    assert n["aa"] == n["zz"] == 80 and len(set(texts)) > 100
+    assert language_id.sample_windows(docs, 40, 2, 2)[2] == ["aa", "zz"]
+    got = language_id.identify(docs.filter("lang in ('aa', 'zz')"), per_lang=40).collect()
+    assert np.mean([r.lang_pred == ("aa" if r.doc_id is None else "zz") for r in got]) > 0.95
+    unlabelled = language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
+
+
+def test_restarts_cost_little(docs, rows):
+    """States start anew in each segment; with segments 8 times as long the labels of texts are the same."""
+    texts = [r[1].encode() for r in rows[:60]] + [(rows[2][1] + " ").encode() * 20]
+    m = language_id.train(*language_id.sample_windows(docs, 500, 6, 256))
+    short, n = language_id.pooled(m, texts), language_id.SEGMENT
+    try:
+        language_id.SEGMENT = 8 * n
+        assert (language_id.pooled(m, texts).argmax(1) == short.argmax(1)).mean() > 0.98
+    finally:
+        language_id.SEGMENT = n
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     m = language_id.train([b"ab", b"cd"], [0, 1], ["x", "y"], steps=1)
