@@ -581,6 +581,16 @@ def plain_scorer(scorer, counts, n, distinct):
     return total
 
 
+@pytest.mark.parametrize("scale", [1.0, 60.0])  # numbers of the larger one overflow unless they are shifted
+def test_log_softmax(scale):
+    rng = np.random.default_rng(1)
+    h, q, b = (rng.standard_normal(s).astype(np.float32) * scale**0.5 for s in ((2500, 5), (40, 5), (40,)))
+    index = rng.integers(0, 40, 2500)
+    s = h.astype(np.float64) @ q.T + b
+    want = s[np.arange(2500), index] - s.max(1) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))
+    assert np.allclose(lm_scoring.log_softmax_of(h, q, b, index), want, rtol=1e-4, atol=1e-4 * scale)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, prose(rng, 60, "en" if i % 2 else "fr")) for i in range(120)], "doc_id long, text string")
