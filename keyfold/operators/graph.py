@@ -1,6 +1,7 @@
 """Ranks, distances and closures of graphs given as edges (src, dst). Repeated edges count each.
 
-Loops keep edges partitioned by source and the state partitioned by vertex, so a round shuffles only messages.
+Edges are computed once and written. Loops keep them partitioned by source and the state partitioned by vertex, so a round
+shuffles only messages; what a loop keeps goes when it ends.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold import storage
 from keyfold.operators.iterate import iterate
 
 DAMPING = 0.85
@@ -46,6 +48,7 @@ def _spread(state: DataFrame, links: DataFrame, value: str) -> DataFrame:
 
 
 def _rounds(edges: DataFrame, columns: dict[str, float], next_columns: Callable[[], dict], sent: Callable[[DataFrame], DataFrame], rounds: int, **loop) -> DataFrame:
+    edges = storage.cut(edges)
     links = _weighted(edges)
     start = vertices_of(edges).select("vertex", *(F.lit(v).alias(c) for c, v in columns.items()))
 
@@ -54,6 +57,7 @@ def _rounds(edges: DataFrame, columns: dict[str, float], next_columns: Callable[
         return state.join(got, "vertex", "left").withColumn("received", F.coalesce("received", F.lit(0.0))).select("vertex", *(e.alias(c) for c, e in next_columns().items()))
 
     out = iterate(start, step, rounds, **loop)
+    links.unpersist()
     return out
 
 
@@ -71,6 +75,7 @@ def pagerank_delta(edges: DataFrame, rounds: int = 10, **loop) -> DataFrame:
 def pagerank_bsp(edges: DataFrame, rounds: int = 10, snapshot: Callable[[DataFrame, int], None] | None = None, outer: int = 1, **loop) -> DataFrame:
     """Ranks that start at 1 and are 0.15 plus 0.85 of what a vertex receives. snapshot: sees the ranks after each of
     the outer stretches of rounds."""
+    edges = storage.cut(edges)
     links = _weighted(edges)
     state = vertices_of(edges).select("vertex", F.lit(DAMPING).alias("x"))
 
@@ -82,6 +87,7 @@ def pagerank_bsp(edges: DataFrame, rounds: int = 10, snapshot: Callable[[DataFra
         state = iterate(state, step, rounds, **loop)
         if snapshot:
             snapshot(state.select("vertex", (F.col("x") + START).alias("pr")), n)
+    links.unpersist()
     return state.select("vertex", (F.col("x") + START).alias("pr"))
 
 
@@ -97,7 +103,9 @@ def pagerank_with_links(links: DataFrame, ranks: DataFrame | None = None, rounds
         got = sent.groupBy(F.col("to").alias("vertex")).agg(F.sum("m").alias("received"))
         return state.join(got, "vertex", "left").select("vertex", (F.col("pr") + DAMPING * F.coalesce("received", F.lit(0.0))).alias("pr"))
 
-    return iterate(ranks, step, rounds, checkpoint_every=checkpoint_every, **loop)
+    out = iterate(ranks, step, rounds, checkpoint_every=checkpoint_every, **loop)
+    links.unpersist()
+    return out
 
 
 def top_ranks(ranks: DataFrame, k: int = 10) -> DataFrame:
@@ -120,6 +128,7 @@ def shortest_hops(edges: DataFrame, source: int, rounds: int, unreached: int | N
 
     Each round sends from the vertices found in the round before only, and ends early when there are none.
     """
+    edges = storage.cut(edges)
     links = edges.select(F.col("src").alias("vertex"), "dst").distinct().repartition("vertex").persist(StorageLevel.MEMORY_AND_DISK)
     start = vertices_of(edges).select("vertex", F.when(F.col("vertex") == source, 0).cast("int").alias("dist"), (F.col("vertex") == source).alias("updated"))
 
@@ -129,6 +138,7 @@ def shortest_hops(edges: DataFrame, source: int, rounds: int, unreached: int | N
         return state.join(found, "vertex", "left").select("vertex", F.when(new, F.lit(n)).otherwise(F.col("dist")).cast("int").alias("dist"), F.coalesce(new, F.lit(False)).alias("updated"))
 
     out = iterate(start, step, rounds, until=lambda old, new: new.filter("updated").limit(1).count() == 0)
+    links.unpersist()
     return out.select("vertex", F.coalesce("dist", F.lit(unreached)).cast("int").alias("dist") if unreached is not None else "dist")
 
 
@@ -144,4 +154,5 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
         return state.withColumn("done", F.lit(True)).unionByName(fresh)
 
     out = iterate(start, step, rounds, until=lambda old, new: new.filter("not done").limit(1).count() == 0, checkpoint_every=3)
+    links.unpersist()
     return out.select("vertex", F.when(F.col("done"), "Done").otherwise("ToFetch").alias("status"))

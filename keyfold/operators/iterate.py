@@ -27,30 +27,35 @@ def iterate(
 
     States between checkpoints are kept, spilling to disk, and computed when one is read: without `until`, the rounds up
     to a checkpoint are stages of one job. Every checkpoint_every rounds the state is written to the checkpoint folder,
-    which cuts lineage, and to checkpoint_path/cp-n if that is given.
+    which cuts lineage, and to checkpoint_path/cp-n if that is given. The last state is always written, and nothing is
+    kept in the end.
     """
     if rounds < 0 or staleness < 0:
         raise ValueError("rounds and staleness aren't negative")
     held: list[DataFrame] = []
+    written = True
     for n in range(1, rounds + 1):
-        after = step(state, n)
+        before, state, written = state, step(state, n), False
         if checkpoint_every and n % checkpoint_every == 0:
-            after = storage.cut(after)
+            state, written = storage.cut(state), True
             if checkpoint_path:
-                storage.save(after, f"{checkpoint_path}/cp-{n // checkpoint_every}")
+                storage.save(state, f"{checkpoint_path}/cp-{n // checkpoint_every}")
             for df in held:
                 df.unpersist()
             held = []
         elif n < rounds or until is not None:
-            after = after.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(after)
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(state)
         if until is not None:
-            after.count()
-            if until(state, after):
-                return after
+            state.count()
+            if until(before, state):
+                break
             if len(held) > 2:  # those before have been read by now
                 held.pop(0).unpersist()
-        state = after
+    if not written:
+        state = storage.cut(state)
+    for df in held:
+        df.unpersist()
     return state
 
 

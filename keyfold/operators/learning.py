@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold import storage
 from keyfold.functions import sigmoid, squared_distance
 
 # k-means
@@ -31,11 +32,35 @@ def nearest(centres: list[list[float]], vector: str = "embedding") -> Column:
     return F.array_min(F.array(*options))
 
 
-def assign(points: DataFrame, centres: list[list[float]], vec_id: str = "vec_id", vector: str = "embedding", cells: int = 20_000_000) -> DataFrame:
-    """(vec_id, c, d). Batches of points meet all centres in a matrix product; distances are then those of the nearest.
+def nearest_of(x: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of x, the number of the nearest row of middle, the first of equally near ones, and its squared distance.
+    A matrix product picks candidates; where several are nearly as near, they are compared exactly."""
+    rough = (x * x).sum(1)[:, None] - 2 * x @ middle.T + (middle * middle).sum(1)
+    low = rough.min(1)
+    row, col = np.nonzero(rough <= (low + 1e-6 * (1 + abs(low)))[:, None])
+    exact = ((x[row] - middle[col]) ** 2).sum(1)
+    order = np.lexsort((col, exact, row))
+    first = order[np.searchsorted(row[order], np.arange(len(x)))]
+    return col[first], exact[first]
 
-    The product only picks candidates: where several are nearly as near, they are compared exactly.
-    """
+
+def _vectors(rows: pd.DataFrame, size: int) -> np.ndarray:
+    return np.array(rows["v"].tolist(), np.float64).reshape(len(rows), size)
+
+
+def _sums(parts: DataFrame, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (c, n, s) of tasks to k sums of n and of s. Numbers of a vector are rows of the shuffle, so long vectors make no
+    wide plan; k times size numbers come to the driver."""
+    n, s = np.zeros(k), np.zeros((k, size))
+    flat = parts.select("c", F.posexplode(F.concat(F.array("n"), "s")).alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x")).toArrow()
+    c, i, x = (flat[name].to_numpy() for name in ("c", "i", "x"))
+    n[c[i == 0]] = x[i == 0]
+    s[c[i > 0], i[i > 0] - 1] = x[i > 0]
+    return n, s
+
+
+def assign(points: DataFrame, centres: list[list[float]], vec_id: str = "vec_id", vector: str = "embedding", cells: int = 20_000_000) -> DataFrame:
+    """(vec_id, c, d). Batches of points meet all centres in a matrix product."""
     middle = np.array(centres, np.float64)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,15 +68,8 @@ def assign(points: DataFrame, centres: list[list[float]], vec_id: str = "vec_id"
         for rows in it:
             for at in range(0, len(rows), size):
                 part = rows.iloc[at : at + size]
-                x = np.array(part["v"].tolist(), np.float64).reshape(len(part), middle.shape[1])
-                rough = (x * x).sum(1)[:, None] - 2 * x @ middle.T + (middle * middle).sum(1)
-                low = rough.min(1)
-                close = rough <= (low + 1e-6 * (1 + abs(low)))[:, None]
-                row, col = np.nonzero(close)
-                exact = ((x[row] - middle[col]) ** 2).sum(1)
-                order = np.lexsort((col, exact, row))
-                first = order[np.searchsorted(row[order], np.arange(len(part)))]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "c": col[first].astype(np.int32), "d": exact[first]})
+                c, d = nearest_of(_vectors(part, middle.shape[1]), middle)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "c": c.astype(np.int32), "d": d})
 
     rows = points.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return rows.mapInPandas(run, "id long, c int, d double").withColumnRenamed("id", vec_id)
@@ -60,66 +78,85 @@ def assign(points: DataFrame, centres: list[list[float]], vec_id: str = "vec_id"
 def lloyd(points: DataFrame, centres: list[list[float]], rounds: int, vec_id: str = "vec_id", vector: str = "embedding") -> list[list[float]]:
     """Centres after so many rounds of assigning and averaging. A round leaves one partial sum per task and centre;
     centres without points stay."""
-    size = len(centres[0]) if centres else 0
     rows = points.select(F.col(vector).cast("array<double>").alias("v"))
+    middle = np.array(centres, np.float64)
     for _ in range(rounds):
-        middle = np.array(centres, np.float64)
 
         def partial(it: Iterator[pd.DataFrame], middle: np.ndarray = middle) -> Iterator[pd.DataFrame]:
             total, count = np.zeros_like(middle), np.zeros(len(middle))
             for batch in it:
                 for at in range(0, len(batch), 4096):
-                    x = np.array(batch["v"].iloc[at : at + 4096].tolist(), np.float64).reshape(-1, size)
-                    c = ((x[:, None, :] - middle[None]) ** 2).sum(2).argmin(1) if len(middle) * size < 4096 else ((middle * middle).sum(1) - 2 * x @ middle.T).argmin(1)
+                    x = _vectors(batch.iloc[at : at + 4096], middle.shape[1])
+                    c, _ = nearest_of(x, middle)
                     np.add.at(total, c, x)
                     count += np.bincount(c, minlength=len(middle))
             used = np.flatnonzero(count)
             yield pd.DataFrame({"c": used.astype(np.int32), "n": count[used], "s": list(total[used])})
 
-        sums = rows.mapInPandas(partial, "c int, n double, s array<double>").groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size))).collect()
-        centres = [list(c) for c in centres]
-        for r in sums:
-            centres[r["c"]] = [r[f"s{i}"] / r["n"] for i in range(size)]
-    return centres
+        n, s = _sums(rows.mapInPandas(partial, "c int, n double, s array<double>"), middle.shape[1], len(middle))
+        middle = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], middle)
+    return [list(c) for c in middle.tolist()]
 
 
 def mean_squared_error(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.avg("d").alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
-def online_kmeans(points: DataFrame, centres: list[list[float]], rounds: int, parts: int, vec_id: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
-    """Centres and counts after rounds of online updates: each logical partition goes through its points by id on a
-    copy of its own, and the changes of all partitions add up. Counts start at 1."""
+def online_kmeans(
+    points: DataFrame, centres: list[list[float]], rounds: int, parts: int, vec_id: str = "vec_id", vector: str = "embedding", alpha: float = 1.0, replicate: int = 1, every: int = 1
+) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and counts after rounds of online updates: each logical partition goes through its points by id, replicate
+    times, on a copy of its own, and the changes of all partitions add up. Counts start at 1. A point moves its nearest
+    centre by alpha over the centre's count, itself counted. every: of a partition's points only each so many-th counts, in
+    the order in which all passes meet them.
+
+    points: vec_id, and either arrays of numbers or sparse vectors as arrays of (i, v), i from 0; what a sparse vector lacks is
+    0. A partition's points are held by its task if it goes through them several times, so parts should grow with the points.
+    """
     middle, counts = np.array(centres, np.float64), np.ones(len(centres))
-    rows = points.select(F.pmod(F.col(vec_id), F.lit(parts)).cast("int").alias("p"), F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    size = middle.shape[1]
+    sparse = "struct" in points.schema[vector].dataType.simpleString()
+    v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at(F.map_from_entries(vector), i).cast("double"), F.lit(0.0))) if sparse else F.col(vector).cast("array<double>")
+    rows = points.select(F.pmod(F.col(vec_id), F.lit(parts)).cast("int").alias("p"), F.col(vec_id).alias("id"), v.alias("v"))
     rows = rows.repartition(parts, "p").sortWithinPartitions("p", "id")
     for _ in range(rounds):
 
         def change(it: Iterator[pd.DataFrame], middle: np.ndarray = middle, counts: np.ndarray = counts) -> Iterator[pd.DataFrame]:
-            now = own = n = None
             moved, seen = np.zeros_like(middle), np.zeros_like(counts)
+            now = own = n = None
+            held: list[np.ndarray] = []
+            met = 0
+
+            def see(x: np.ndarray) -> None:
+                nonlocal met
+                met += 1
+                if met % every == 0:
+                    c = int(((own - x) ** 2).sum(1).argmin())
+                    n[c] += 1
+                    own[c] -= alpha / n[c] * (own[c] - x)
+
+            def end() -> None:
+                nonlocal moved, seen
+                for _ in range(replicate - 1):
+                    for x in held:
+                        see(x)
+                moved, seen = moved + (own - middle), seen + (n - counts)
+
             for batch in it:
-                for p, v in zip(batch["p"], batch["v"]):
+                for p, x in zip(batch["p"], _vectors(batch, size)):
                     if p != now:
                         if own is not None:
-                            moved += own - middle
-                            seen += n - counts
-                        now, own, n = p, middle.copy(), counts.copy()
-                    x = np.asarray(v, np.float64)
-                    c = int(((own - x) ** 2).sum(1).argmin())
-                    n[c] += 1
-                    own[c] -= (own[c] - x) / n[c]
+                            end()
+                        now, own, n, held, met = p, middle.copy(), counts.copy(), [], 0
+                    see(x)
+                    if replicate > 1:
+                        held.append(x)
             if own is not None:
-                moved += own - middle
-                seen += n - counts
+                end()
             yield pd.DataFrame({"c": np.arange(len(middle), dtype=np.int32), "n": seen, "s": list(moved)})
 
-        size = middle.shape[1]
-        sums = rows.mapInPandas(change, "c int, n double, s array<double>").groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size))).collect()
-        middle, counts = middle.copy(), counts.copy()
-        for r in sums:
-            middle[r["c"]] += [r[f"s{i}"] for i in range(size)]
-            counts[r["c"]] += r["n"]
+        n, s = _sums(rows.mapInPandas(change, "c int, n double, s array<double>"), size, len(middle))
+        middle, counts = middle + s, counts + n
     return middle, counts
 
 
@@ -177,7 +214,7 @@ def sparse_logistic(points: DataFrame, rounds: int, alpha: float, parts: int, ba
     """Parameters after rounds of mini-batch steps without an intercept."""
     from keyfold.operators.iterate import iterate
 
-    some = prefix_batch(points, parts, max(1, batch // parts)).persist()
+    some = storage.cut(prefix_batch(points, parts, max(1, batch // parts)))
     start = some.sparkSession.createDataFrame([], "fea int, val double")
     out = iterate(start, lambda params, n: sparse_step(some, params, alpha, batch), rounds)
     return out
@@ -240,7 +277,8 @@ def factorise(ratings: DataFrame, rank: int, rounds: int, blocks: int, rate: flo
     """
     from keyfold.operators.iterate import iterate
 
-    rows = ratings.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("double")).withColumn("ub", F.pmod("user", F.lit(blocks)).cast("int")).withColumn("ib", F.pmod("item", F.lit(blocks)).cast("int")).persist()
+    rows = ratings.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("double")).withColumn("ub", F.pmod("user", F.lit(blocks)).cast("int")).withColumn("ib", F.pmod("item", F.lit(blocks)).cast("int"))
+    rows = storage.cut(rows)
     seed = lambda kind, c: F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda i: F.pmod(F.xxhash64(F.lit(kind), c, i), F.lit(1000)) / 1000.0 * start)
     users = rows.select("user").distinct().select(F.lit(0).alias("kind"), F.col("user").alias("id"), seed("u", F.col("user")).alias("f"))
     items = rows.select("item").distinct().select(F.lit(1).alias("kind"), F.col("item").alias("id"), seed("i", F.col("item")).alias("f"))
@@ -263,5 +301,4 @@ def factorise(ratings: DataFrame, rank: int, rounds: int, blocks: int, rate: flo
         return state.withColumn("block", block).groupBy("block").cogroup(here.groupBy("block")).applyInPandas(train, "kind int, id long, f array<double>")
 
     out = iterate(users.union(items), stretch, rounds * blocks, checkpoint_every=4)
-    out = out.persist()
     return out.filter("kind = 0").select(F.col("id").alias("user"), F.col("f").alias("p")), out.filter("kind = 1").select(F.col("id").alias("item"), F.col("f").alias("q"))

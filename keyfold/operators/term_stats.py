@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold import storage
 from keyfold.functions import hash_bucket, tokens, words
 
 
@@ -28,8 +29,12 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _with_df(counts: DataFrame) -> DataFrame:
-    return counts.join(document_frequency(counts), "term")
+def _with_df(counts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Counts with df, those of the documents in `only` (doc_id) if it is given. Texts are split once: counts are written,
+    and read for both. Adaptive execution broadcasts df where it is small and splits frequent terms where it isn't."""
+    counts = storage.cut(counts)
+    some = counts if only is None else counts.join(only, "doc_id", "left_semi")
+    return some.join(document_frequency(counts), "term")
 
 
 def idf_weights(docs: DataFrame, n_docs: int, text: str = "text") -> DataFrame:
@@ -50,9 +55,10 @@ def count_over_df(docs: DataFrame, buckets: int = 2 << 18, text: str = "text") -
     return joined.select("doc_id", "term", (F.col("cnt") / F.col("df")).alias("tf_idf"))
 
 
-def log_weights(docs: DataFrame, n_docs: int, buckets: int, text: str = "text") -> DataFrame:
-    """(doc_id, term, tf_idf) of hashed words: the share in the document times ln(n_docs / df)."""
-    joined = _with_df(hashed_counts(docs, buckets, text))
+def log_weights(docs: DataFrame, n_docs: int, buckets: int, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf_idf) of hashed words: the share in the document times ln(n_docs / df). only: ids (doc_id) of the
+    documents to give weights of; df is that of all."""
+    joined = _with_df(hashed_counts(docs, buckets, text), only)
     return joined.select("doc_id", "term", (F.col("cnt") / F.col("total") * F.log(F.lit(n_docs) / F.col("df"))).alias("tf_idf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold import storage
 from keyfold.operators import learning, term_stats
 from keyfold.sources.tables import initial_factor, order_ratings, table
 
@@ -60,18 +61,19 @@ def lr_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sparse_points(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return term_stats.feature_points(term_stats.log_weights(docs, docs.count(), 512), table(spark, sf, "labels"), "quality")
+    labels = table(spark, sf, "labels")
+    return storage.cut(term_stats.feature_points(term_stats.log_weights(docs, docs.count(), 512, only=labels.select("doc_id")), labels, "quality"))
 
 
 def lr_sparse_step(spark: SparkSession, sf: str) -> DataFrame:
-    some = learning.prefix_batch(_sparse_points(spark, sf), PARTS, 20)
+    some = storage.cut(learning.prefix_batch(_sparse_points(spark, sf), PARTS, 20))
     start = spark.createDataFrame([], "fea int, val double")
     return learning.sparse_step(some, start, 0.1, PARTS * 20).select("fea", F.round("val", 8).alias("val"))
 
 
 def tfidf_lr(spark: SparkSession, sf: str) -> DataFrame:
     """Term weights of labelled documents, parameters and an intercept from all of them in each round, and the accuracy on all."""
-    points = _sparse_points(spark, sf).persist()
+    points = _sparse_points(spark, sf)
     params, bias = learning.full_logistic(points, 5, 0.5, PARTS)
     z = learning.sparse_margins(points, params, bias)
     return z.agg(F.avg(((F.col("z") >= 0) == (F.col("y") > 0)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
@@ -86,7 +88,7 @@ def mf_eval_rmse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mf_sgd_rmse(spark: SparkSession, sf: str) -> DataFrame:
-    ratings = order_ratings(spark, sf).persist()
+    ratings = storage.cut(order_ratings(spark, sf))
     users, items = learning.factorise(ratings, RANK, 3, 2, 0.002, 0.01, start=2.0)
     return learning.rating_error(learning.predictions(ratings, users, items))
 
@@ -125,6 +127,21 @@ chosen AS (SELECT doc_id, quality AS y FROM labels WHERE doc_id IN (SELECT doc_i
 SELECT term::INT AS fea, round(0.1 / 80 * sum(v * (y - 0.5)), 8) AS val FROM w JOIN chosen USING (doc_id) GROUP BY term"""
 
 
+def _full_logistic(rounds: int = 5, alpha: float = 0.5) -> str:
+    """Accuracy after rounds of full gradients: the sum over doc_id % 4 of mean gradients, with an intercept."""
+    head = _SPARSE[: _SPARSE.index("chosen AS")]
+    steps = ["x AS MATERIALIZED (SELECT doc_id, term, v FROM w JOIN labels USING (doc_id))", "y AS MATERIALIZED (SELECT doc_id, doc_id % 4 AS part, greatest(quality, 0) AS y FROM labels WHERE doc_id IN (SELECT doc_id FROM x))",
+             "p0 AS (SELECT -1 AS fea, 0::DOUBLE AS val)"]
+    margin = "SELECT y.doc_id, part, y, coalesce(sum(v * val), 0) + any_value((SELECT val FROM p{n} WHERE fea = -1)) AS z FROM y JOIN x USING (doc_id) LEFT JOIN p{n} ON fea = term GROUP BY y.doc_id, part, y"
+    for n in range(rounds):
+        steps.append(f"e{n} AS MATERIALIZED (SELECT doc_id, (y - 1 / (1 + exp(-z))) / count(*) OVER (PARTITION BY part) AS e FROM ({margin.format(n=n)}))")
+        steps.append(
+            f"p{n + 1} AS MATERIALIZED (SELECT fea, sum(val) AS val FROM (SELECT fea, val FROM p{n} UNION ALL SELECT term, {alpha} * sum(v * e) FROM x JOIN e{n} USING (doc_id) GROUP BY term "
+            f"UNION ALL SELECT -1, {alpha} * sum(e) FROM e{n}) GROUP BY fea)"
+        )
+    return head + ", ".join(steps) + f" SELECT avg(((z >= 0) = (y > 0))::INT) AS accuracy, count(*) AS n FROM ({margin.format(n=rounds)})"
+
+
 def _factor(key: str, salt: str) -> str:
     return "[" + ", ".join(f"(('0x' || substr(md5('{salt}{i}:' || \"{key}\"::VARCHAR), 1, 8))::UBIGINT % 1000) / 1000.0" for i in range(RANK)) + "]"
 
@@ -136,6 +153,7 @@ ORACLE_SQL = {
     "lr_dense_step_k": _lr() + " SELECT fea::INT AS fea, round(val, 6) AS val FROM (" + " UNION ALL ".join(f"SELECT {i} AS fea, {f} AS val FROM w{LR_ROUNDS}" for i, f in enumerate([*FEATURES, "b"])) + ")",
     "lr_accuracy": _lr() + f" SELECT round(avg(((1 / (1 + exp(-({' + '.join(f'w.{f} * p.{f}' for f in FEATURES)} + w.b))) >= 0.5) = (y > 0))::INT), 6) AS accuracy, count(*) AS n FROM p, w{LR_ROUNDS} w",
     "lr_sparse_step": _SPARSE,
+    "tfidf_lr": _full_logistic(),
     "mf_eval_rmse": f"""
 WITH r AS (SELECT o_custkey AS "user", l_partkey AS item, avg(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 u AS (SELECT DISTINCT "user", {_factor("user", "u")} AS p FROM r), i AS (SELECT DISTINCT item, {_factor("item", "i")} AS q FROM r),

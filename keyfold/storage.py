@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's folder of spark.checkpoint.dir; where none is set, as in local tests, a temporary one."""
+    """The cluster's folder of spark.checkpoint.dir. Only on a local master, as in tests, one of the machine's own if it
+    is unset."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyfold-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that executors share")
+            where = tempfile.mkdtemp(prefix="keyfold-")
         sc.setCheckpointDir(where)
     return where
 
@@ -32,6 +37,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

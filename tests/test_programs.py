@@ -131,6 +131,31 @@ def test_online_kmeans_as_in_numpy(spark):
     assert np.allclose(got, mid) and np.allclose(n, cnt)
 
 
+def test_online_kmeans_with_its_settings(spark):
+    """Learning rate, several passes, and each so many-th point only; dense and sparse points alike."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(50, 4)), 3) * (rng.random((50, 4)) > 0.4)
+    dense = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    sparse = spark.createDataFrame([(i, [(j, float(v)) for j, v in enumerate(r) if v]) for i, r in enumerate(x)], "vec_id long, embedding array<struct<i:int,v:double>>")
+    start = x[:3].tolist()
+    for alpha, replicate, every in ((0.1, 3, 1), (0.5, 2, 4), (1.0, 1, 40)):
+        mid, cnt = np.array(start), np.ones(3)
+        for _ in range(2):
+            dm, dc = np.zeros_like(mid), np.zeros(3)
+            for p in range(2):
+                own, c = mid.copy(), cnt.copy()
+                for n, i in enumerate(list(range(p, 50, 2)) * replicate, 1):
+                    if n % every == 0:
+                        k = ((own - x[i]) ** 2).sum(1).argmin()
+                        c[k] += 1
+                        own[k] -= alpha / c[k] * (own[k] - x[i])
+                dm, dc = dm + own - mid, dc + c - cnt
+            mid, cnt = mid + dm, cnt + dc
+        for points in (dense, sparse):
+            got, n = learning.online_kmeans(points, start, 2, 2, alpha=alpha, replicate=replicate, every=every)
+            assert np.allclose(got, mid) and np.allclose(n, cnt)
+
+
 def test_lloyd_never_gets_worse(spark):
     rng = np.random.default_rng(2)
     points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(80, 2)))], "vec_id long, embedding array<double>")
