@@ -588,7 +588,9 @@ def test_log_softmax(scale):
     index = rng.integers(0, 40, 2500)
     s = h.astype(np.float64) @ q.T + b
     want = s[np.arange(2500), index] - s.max(1) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))
-    assert np.allclose(lm_scoring.log_softmax_of(h, q, b, index), want, rtol=1e-4, atol=1e-4 * scale)
+    rows, norm = np.concatenate([h, np.ones((2500, 1), np.float32)], 1), float(np.sqrt((h * h).sum(1).max() + 1))
+    got = lm_scoring.Products(q, b).log_softmax(rows, index, norm, np.empty(8000, np.float32))
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4 * scale)
 
 
 def test_lm_probabilities_sum_to_one(spark):
@@ -597,7 +599,7 @@ def test_lm_probabilities_sum_to_one(spark):
     scorer, counts = lm_scoring.fit(docs, 60, 40, 6, 4, 3)
     v, nodes = scorer.v, np.arange(scorer.v.nodes)
     for _ in range(20):
-        before = np.array([[rng.randrange(v.nodes) for _ in range(lm_scoring.CONTEXT)]] * v.nodes)
+        before = [np.full(v.nodes, rng.randrange(v.nodes)) for _ in range(lm_scoring.CONTEXT)]
         assert (10 ** scorer.log_probabilities(nodes, before)).sum() == pytest.approx(1, abs=1e-4)
     mass = np.zeros(v.nodes)
     unseen = 10 ** v.log10(0)
