@@ -6,7 +6,8 @@ sorted, so that the longest common prefixes are between neighbours, and read in
 two values are a region. A region keeps leaders, to which its members are compared by their whole signatures; where
 leaders crowd, the region goes one value deeper and leaves behind those with another prefix. Members become candidates
 of their leader, and leaders of each other, if enough of their signatures agree. As a tree's partitions end anywhere,
-the leaders of the regions at their ends meet in a second, small step.
+the leaders of the regions at their ends meet in further, small steps: those of `FAN` partitions next to each other, then
+those that these leave, until each region is whole.
 
 Candidates only say which classes may be linked at all: their connected groups. Links are confirmed on the full sets,
 within each group: every pair that may reach the threshold is compared exactly, unless its classes are linked already. A
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ASCII_LOWER, batches, freed_but, materialise, one_of_each
+from keyfold.llm.common import ASCII_LOWER, batches, freed_but, materialise, one_of_each, partition_id
 from keyfold.llm.components import UnionFind, components
 
 TREES, DEPTH = 12, 4
@@ -46,6 +47,8 @@ SLOTS = TREES * DEPTH
 NEAR, MAYBE = 36, 24
 #: Leaders of a region from which it goes deeper.
 CROWD = 256
+#: Neighbouring stretches of a region whose leaders meet in one task.
+FAN = 8
 #: Shingles and classes of a group, or of a block of a larger one, that are compared in one task, about.
 GROUP, MEMBERS = 100_000, 250
 NO_ID = 2**63 - 1
@@ -128,9 +131,10 @@ def features(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch
 
 
 class Region:
-    """Leaders of classes that share a prefix."""
+    """Leaders of classes that share a prefix. added: all that ever were, if they are to be kept."""
 
-    def __init__(self) -> None:
+    def __init__(self, keep: bool = False) -> None:
+        self.added: list[tuple[int, bytes, bytes]] | None = [] if keep else None
         self.ids: list[int] = []
         self.prefixes: list[bytes] = []
         self.sig = np.zeros((64, SLOTS), np.uint8)
@@ -143,6 +147,8 @@ class Region:
         self.sig[len(self.ids)] = sig
         self.ids.append(doc)
         self.prefixes.append(key)
+        if self.added is not None:
+            self.added.append((doc, key, sig.tobytes()))
 
     def deeper(self, key: bytes) -> None:
         """Where leaders crowd, those go that don't share a longer prefix with what comes."""
@@ -193,29 +199,33 @@ class Region:
                     self.sets.join(ids[late[row]], self.ids[known + col])
 
 
-CANDIDATES = "tree int, key binary, sig binary, a long, b long"
+CANDIDATES = "tree int, stretch int, key binary, sig binary, a long, b long"
 
 
-def grow(it: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
-    """A stretch of the trees' orders to candidate links (a, b), and, if asked for, the leaders (tree, key, sig, a) of
-    the regions at its ends."""
-    now, region, first = None, None, True
+def grow(it: Iterator[pa.RecordBatch], merging: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, stretch, key, id, sig) in order to candidate links (a, b) and leaders (tree, stretch, key, sig, a). A
+    task's rows are a stretch of the trees' orders, of which the leaders of the regions at its ends are given; merging, they
+    are leaders of several stretches, of which all that stay are given."""
+    now, region, first, number = None, None, True, partition_id()
 
     def out(last: bool) -> Iterator[pa.RecordBatch]:
         a, b = region.sets.links()
-        n, leaders = len(a), len(region.ids) if ends and (first or last) else 0
-        if not n and not leaders:
-            return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None] * n + [now[0]] * leaders, pa.int32()), pa.array([None] * n + region.prefixes[:leaders], pa.binary()), pa.array([None] * n + [s.tobytes() for s in region.sig[:leaders]], pa.binary()),
-             pa.array(a + region.ids[:leaders], pa.int64()), pa.array(b + [None] * leaders, pa.int64())],
-            names=["tree", "key", "sig", "a", "b"],
-        )
+        if merging:
+            leaders = region.added
+        else:
+            leaders = [(i, k, s.tobytes()) for i, k, s in zip(region.ids, region.prefixes, region.sig)] if first or last else []
+        n, m = len(a), len(leaders)
+        if n or m:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None] * n + [now[0]] * m, pa.int32()), pa.array([None] * n + [now[2] if merging else number] * m, pa.int32()), pa.array([None] * n + [k for _, k, _ in leaders], pa.binary()),
+                 pa.array([None] * n + [s for _, _, s in leaders], pa.binary()), pa.array(a + [i for i, _, _ in leaders], pa.int64()), pa.array(b + [None] * m, pa.int64())],
+                names=["tree", "stretch", "key", "sig", "a", "b"],
+            )
 
     for batch in it:
-        trees, keys, ids = batch.column("tree").to_pylist(), batch.column("key").to_pylist(), batch.column("id").to_pylist()
+        trees, stretches, keys, ids = (batch.column(c).to_pylist() for c in ("tree", "stretch", "key", "id"))
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        marks = [(t, k[:8]) for t, k in zip(trees, keys)]
+        marks = [(t, k[:8], x) for t, k, x in zip(trees, keys, stretches)]
         at = 0
         while at < len(ids):
             stop = at + 1
@@ -225,7 +235,7 @@ def grow(it: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
                 if region is not None:
                     yield from out(False)
                     first = False
-                now, region = marks[at], Region()
+                now, region = marks[at], Region(merging)
             if region.ids or stop - at > 1:
                 region.take(ids[at:stop], keys[at:stop], sig[at:stop])
             else:
@@ -306,12 +316,18 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     """classes: id, slots, sig. Links (a, b) whose connected groups hold all classes that may be linked."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("id", "slots", "sig", tree).select("tree", F.substring("slots", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("key"), "id", "sig")
-    ranged = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = materialise(ranged.mapInArrow(lambda it: grow(it, True), CANDIDATES), "candidates")
-    leaders = found.filter("b is null").select("tree", "key", F.col("a").alias("id"), "sig")
-    leaders = leaders.repartition("tree", F.substring("key", 1, 8)).sortWithinPartitions("tree", "key", "id")
-    more = leaders.mapInArrow(lambda it: grow(it, False), CANDIDATES)
-    return found.filter("b is not null").select("a", "b").union(more.select("a", "b"))
+    ranged = rows.withColumn("stretch", F.lit(0)).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    found = materialise(ranged.mapInArrow(lambda it: grow(it, False), CANDIDATES), "candidates")
+    links = found.filter("b is not null").select("a", "b")
+    while True:
+        leaders = found.filter("b is null").select("tree", "stretch", "key", F.col("a").alias("id"), "sig", F.substring("key", 1, 8).alias("prefix"))
+        several = leaders.groupBy("tree", "prefix").agg((F.min("stretch") < F.max("stretch")).alias("several")).filter("several").select("tree", "prefix")
+        leaders = leaders.join(several, ["tree", "prefix"], "left_semi").withColumn("stretch", F.floor(F.col("stretch") / FAN).cast("int"))
+        leaders = leaders.repartition("tree", "prefix", "stretch").sortWithinPartitions("tree", "prefix", "stretch", "key", "id")
+        found = materialise(leaders.select("tree", "stretch", "key", "id", "sig").mapInArrow(lambda it: grow(it, True), CANDIDATES), "candidates")
+        if not found.limit(1).count():
+            return links
+        links = links.union(found.filter("b is not null").select("a", "b"))
 
 
 def _meet(rows: DataFrame, size: int, percent: int) -> DataFrame:
