@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ASCII_LOWER, batches, freed_but, materialise, one_of_each, partition_id
+from keyfold.llm.common import ASCII_LOWER, batches, freed_but, join_small, materialise, one_of_each, partition_id
 from keyfold.llm.components import UnionFind, components
 
 TREES, DEPTH = 12, 4
@@ -322,7 +322,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     while True:
         leaders = found.filter("b is null").select("tree", "stretch", "key", F.col("a").alias("id"), "sig", F.substring("key", 1, 8).alias("prefix"))
         several = leaders.groupBy("tree", "prefix").agg((F.min("stretch") < F.max("stretch")).alias("several")).filter("several").select("tree", "prefix")
-        leaders = leaders.join(several, ["tree", "prefix"], "left_semi").withColumn("stretch", F.floor(F.col("stretch") / FAN).cast("int"))
+        leaders = join_small(leaders, materialise(several, "several"), ["tree", "prefix"], "left_semi").withColumn("stretch", F.floor(F.col("stretch") / FAN).cast("int"))
         leaders = leaders.repartition("tree", "prefix", "stretch").sortWithinPartitions("tree", "prefix", "stretch", "key", "id")
         found = materialise(leaders.select("tree", "stretch", "key", "id", "sig").mapInArrow(lambda it: grow(it, True), CANDIDATES), "candidates")
         if not found.limit(1).count():
