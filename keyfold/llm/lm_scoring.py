@@ -11,10 +11,11 @@ with the vectors of all classes, or of all words of the class, and biases are ad
 by the smoothed counts that the base score uses, in the probability of all those of its range. Over all words, with an
 unseen one for each range, probabilities sum to one. Products are those of matrices for whole batches of texts.
 
-Training is by noise-contrastive estimation, in numpy: every `STRIDE`-th position of every training document, from a
-start that its text gives, is a draw, so draws grow with the corpus. They are written once. Each of `ROUNDS` rounds, a
-task for each `SHARE` draws goes through its own from the model of the round before, and the models are averaged by their
-draws; of up to `SHARE` draws a single task trains, as plain stochastic descent.
+Training is by noise-contrastive estimation, in numpy: every position of every training document, its end too, is a draw.
+Nodes of the documents are written once. Each of `ROUNDS` rounds, a task for each `SHARE` draws goes through its own from
+the model of the round before, and the models are averaged by their draws; of up to `SHARE` draws a single task trains, as
+plain stochastic descent. A step takes windows of `WINDOW` positions from many documents, so what stands before several of
+them goes through the matrices once.
 
 Counts of the `kept` most frequent words of at most `LONGEST` bytes are broadcast (a fixed number); only the other words
 of a text are shuffled to meet their counts, as rows of a word and its number in the text.
@@ -28,7 +29,6 @@ columns none is read.
 from __future__ import annotations
 
 import math
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +47,9 @@ END = b""
 ALPHA = 0.1
 #: Words before a word that its probability depends on, and numbers of a vector.
 CONTEXT, SIZE = 4, 16
-STRIDE, SHARE, ROUNDS = 16, 2_000_000, 2
+SHARE, ROUNDS = 8_000_000, 2
+#: Positions of a window, and draws of a long text that lie in one piece.
+WINDOW, PIECE = 32, 8192
 #: Draws that a step of training takes at most, and steps that a round has if there are draws for them; noise, for each, of classes and of words in a class.
 BATCH, STEPS, NOISE, WORD_NOISE = 4096, 200, 16, 4
 #: Step size of the first round.
@@ -104,7 +106,7 @@ def numbered(tokens: list[bytes], words: dict[bytes, int]) -> np.ndarray:
 
 
 def nodes_of(tokens: list[bytes], number: np.ndarray, v: Vocabulary) -> np.ndarray:
-    out = v.node[number]
+    out = v.node.take(number)
     for i in np.flatnonzero(out < 0).tolist():
         out[i] = v.other(tokens[i])
     return out
@@ -160,14 +162,21 @@ def start(v: Vocabulary, mass: np.ndarray, seed: int = 5) -> Model:
     return m
 
 
-def _rows(param: np.ndarray, past: np.ndarray, index: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """A step of those rows that index names, each with the sum of its gradients."""
+def _rows(index: np.ndarray, rate: float, *parts: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> None:
+    """A step of those rows that index names, each with the sum of its gradients. parts: parameters, their past, gradients
+    and a factor of the rate."""
     order = np.argsort(index, kind="stable")
-    index = index[order]
+    index = index.take(order)
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    total, rows = np.add.reduceat(grad[order], first, axis=0), index[first]
-    past[rows] += total * total
-    param[rows] -= rate * total / np.sqrt(past[rows])
+    rows = index.take(first)
+    for param, past, grad, factor in parts:
+        total = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+        seen = past.take(rows, axis=0)
+        seen += total * total
+        past[rows] = seen
+        total *= factor * rate
+        total /= np.sqrt(seen, out=seen)
+        param[rows] = param.take(rows, axis=0) - total
 
 
 def _whole(param: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float) -> None:
@@ -179,6 +188,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def aliases(mass: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables that draw nodes of a class by their mass: of a node that is taken evenly, the chance that it stays, and the
+    node of the class that is drawn else."""
+    stays, instead = np.ones(len(mass)), np.arange(len(mass), dtype=np.int32)
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        left = (mass[a:b] * ((b - a) / mass[a:b].sum())).tolist()
+        low, high = [i for i, x in enumerate(left) if x < 1], [i for i, x in enumerate(left) if x >= 1]
+        while low and high:
+            i, j = low.pop(), high[-1]
+            stays[a + i], instead[a + i] = left[i], a + j
+            left[j] -= 1 - left[i]
+            if left[j] < 1:
+                low.append(high.pop())
+    return stays, instead
+
+
 class Trainer:
     """Noise-contrastive steps with step sizes by past gradients."""
 
@@ -189,69 +214,112 @@ class Trainer:
         of_class = np.add.reduceat(mass, v.starts[:-1])
         self.class_edges = np.cumsum(of_class / of_class.sum())
         self.log_class = np.log(NOISE * of_class / of_class.sum()).astype(np.float32)
-        self.edges = np.concatenate([[0.0], np.cumsum(mass)])
+        self.stays, self.instead = aliases(mass, v.starts)
+        self.starts, self.sizes = v.starts[:-1].astype(np.int32), np.diff(v.starts).astype(np.int32)
         self.log_word = np.log(WORD_NOISE * mass / of_class[v.kind]).astype(np.float32)
 
-    def step(self, draws: np.ndarray, rate: float) -> None:
-        """draws: (n, CONTEXT + 1) nodes, the words before, the last one first, and the word."""
+    def step(self, nodes: np.ndarray, live: np.ndarray, rate: float) -> None:
+        """nodes: (k, CONTEXT + WINDOW), windows with the words before them; live: (k, WINDOW), which positions are draws."""
         m, past, v, rng = self.m, self.past, self.v, self.rng
-        n = len(draws)
-        before, target = draws[:, :CONTEXT], draws[:, CONTEXT]
-        ra = m.r[before]
-        h = np.einsum("njk,jkl->nl", ra, m.c, optimize=True)
+        k, length = live.shape
+        some = np.flatnonzero(live)
+        target = nodes[:, CONTEXT:].ravel().take(some)
+        n = len(target)
+        ra = m.r.take(nodes.ravel(), axis=0)
+        placed = (ra @ m.c.transpose(1, 0, 2).reshape(SIZE, -1)).reshape(k, -1, CONTEXT, SIZE)
+        rows = np.ones((n, SIZE + 1), np.float32)
+        rows[:, :SIZE] = sum(placed[:, CONTEXT - 1 - j : CONTEXT - 1 - j + length, j] for j in range(CONTEXT)).reshape(-1, SIZE).take(some, axis=0)
+        h = np.ascontiguousarray(rows[:, :SIZE])
         # classes, with noise that the batch shares
-        kind = self.kind[target]
+        kind = self.kind.take(target)
         shared = NOISE * 8
-        false = np.minimum(np.searchsorted(self.class_edges, rng.random(shared)), len(m.b) - 1)
-        g_true = _sigmoid((h * m.q[kind]).sum(1) + m.b[kind] - self.log_class[kind]) - 1
-        g_false = _sigmoid(h @ m.q[false].T + m.b[false] - self.log_class[false]) * (NOISE / shared)
-        gh = g_true[:, None] * m.q[kind] + g_false @ m.q[false]
+        false, times = np.unique(np.minimum(np.searchsorted(self.class_edges, rng.random(shared)), len(m.b) - 1), return_counts=True)
+        weight = (times * (NOISE / shared)).astype(np.float32)
+        qk, qf = m.q.take(kind, axis=0), m.q[false]
+        g_true = _sigmoid(np.einsum("nl,nl->n", h, qk) + m.b.take(kind) - self.log_class.take(kind)) - 1
+        gh = g_true[:, None] * qk
+        columns = np.ascontiguousarray(-np.concatenate([qf, (m.b[false] - self.log_class[false])[:, None]], 1).T)
+        g_false = np.zeros((SIZE + 1, len(false)), np.float32)
+        buffer = np.empty((1024, len(false)), np.float32)
+        with np.errstate(over="ignore"):  # what overflows has a sigmoid of 0
+            for at in range(0, n, 1024):  # such a block stays in a core's cache
+                part = rows[at : at + 1024]
+                s = np.matmul(part, columns, out=buffer[: len(part)])
+                np.exp(s, out=s)
+                s += 1
+                np.divide(weight, s, out=s)
+                gh[at : at + 1024] += s @ qf
+                g_false += part.T @ s
         index = np.concatenate([kind, false.astype(np.uint16)])
-        g_q = np.concatenate([g_true[:, None] * h, g_false.T @ h])
-        g_b = np.concatenate([g_true, g_false.sum(0)])
+        g_q = np.concatenate([g_true[:, None] * h, g_false[:SIZE].T])
+        g_b = np.concatenate([g_true, g_false[SIZE]])
         # words in their class, with noise from the class
-        some = np.flatnonzero(kind >= v.singles)
-        if len(some):
-            t, k = target[some], v.kind[target[some]]
-            low, high = self.edges[v.starts[k]], self.edges[v.starts[k + 1]]
-            drawn = low[:, None] + rng.random((len(some), WORD_NOISE)) * (high - low)[:, None]
-            noise = np.clip(np.searchsorted(self.edges, drawn, side="right") - 1, v.starts[k][:, None], v.starts[k + 1][:, None] - 1)
-            words = np.concatenate([t[:, None].astype(np.int64), noise], 1)
-            qw, hs = m.qw[words], h[some]
-            g = _sigmoid(np.einsum("nkl,nl->nk", qw, hs, optimize=True) + m.bw[words] - self.log_word[words])
+        inner = np.flatnonzero(kind >= v.singles)
+        if len(inner):
+            t, of = target.take(inner), kind.take(inner)
+            size = self.sizes.take(of)[:, None]
+            at = rng.random((len(inner), WORD_NOISE)) * size
+            noise = np.minimum(at.astype(np.int32), size - 1)
+            at -= noise
+            noise += self.starts.take(of)[:, None]
+            words = np.concatenate([t[:, None], np.where(at < self.stays.take(noise), noise, self.instead.take(noise))], 1).astype(np.uint16)
+            qw, hs = m.qw.take(words, axis=0), h.take(inner, axis=0)
+            g = _sigmoid(np.matmul(qw, hs[:, :, None])[:, :, 0] + m.bw.take(words) - self.log_word.take(words))
             g[:, 0] -= 1
-            gh[some] += np.einsum("nk,nkl->nl", g, qw, optimize=True)
-            flat = words.ravel().astype(np.uint16)
-            _rows(m.qw, past.qw, flat, (g[:, :, None] * hs[:, None, :]).reshape(-1, SIZE), rate)
-            _rows(m.bw, past.bw, flat, g.ravel(), 0.2 * rate)
-        g_r = np.einsum("nl,jkl->njk", gh, m.c, optimize=True)
-        g_c = np.einsum("njk,nl->jkl", ra, gh, optimize=True)
-        _rows(m.q, past.q, index, g_q, rate)
-        _rows(m.b, past.b, index, g_b, 0.2 * rate)
-        _rows(m.r, past.r, before.ravel(), g_r.reshape(-1, SIZE), rate)
+            gh[inner] += np.matmul(g[:, None, :], qw)[:, 0]
+            g_qw = np.multiply(g[:, :, None], hs[:, None, :], out=qw).reshape(-1, SIZE)
+            _rows(words.ravel(), rate, (m.qw, past.qw, g_qw, 1), (m.bw, past.bw, g.ravel(), 0.2))
+        after = np.zeros((k, length + 2 * CONTEXT, SIZE), np.float32)  # gradients of h by position, for those up to CONTEXT later
+        if n < live.size:
+            spread = np.zeros((live.size, SIZE), np.float32)
+            spread[some] = gh
+            gh = spread
+        after[:, CONTEXT : CONTEXT + length] = gh.reshape(k, length, SIZE)
+        later = np.concatenate([after[:, 1 + j : 1 + j + length + CONTEXT] for j in range(CONTEXT)], 2).reshape(-1, CONTEXT * SIZE)
+        g_r = later @ m.c.transpose(0, 2, 1).reshape(-1, SIZE)
+        g_c = (ra.T @ later).reshape(SIZE, CONTEXT, SIZE).transpose(1, 0, 2)
+        _rows(index, rate, (m.q, past.q, g_q, 1), (m.b, past.b, g_b, 0.2))
+        _rows(nodes.ravel(), rate, (m.r, past.r, g_r, 1))
         _whole(m.c, past.c, g_c, 0.2 * rate)
 
 
 def drawn(it: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    """Rows of some thousands of draws each, as unsigned 16-bit numbers."""
+    """Every position of all texts, in rows of some thousands: pieces of unsigned 16-bit nodes, each with the CONTEXT ones
+    before it, and how many draws each piece has."""
     v: Vocabulary = table.value
     held: list[bytes] = []
+    sizes: list[int] = []
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
         nodes = nodes_of(held, numbered(held, v.words), v).astype("<u2")
-        yield pa.RecordBatch.from_arrays([pa.array([nodes.tobytes()], pa.binary()), pa.array([len(held) // (CONTEXT + 1)], pa.int64())], names=["draws", "n"])
+        row = [pa.array([nodes.tobytes()], pa.binary()), pa.array([np.array(sizes, "<u4").tobytes()], pa.binary()), pa.array([sum(sizes)], pa.int64())]
         held.clear()
+        sizes.clear()
+        return pa.RecordBatch.from_arrays(row, names=["draws", "sizes", "n"])
 
     for b in batches(it, 2000):
         for text in b.column("text").to_pylist():
             tokens = [END] * CONTEXT + tokens_of(text)
-            for at in range(CONTEXT + zlib.crc32(text or b"") % STRIDE, len(tokens), STRIDE):
-                held += tokens[at - 1 : at - CONTEXT - 1 : -1] if at > CONTEXT else tokens[at - 1 :: -1]
-                held.append(tokens[at])
-                if len(held) >= 8192 * (CONTEXT + 1):
-                    yield from out()
+            for at in range(0, len(tokens) - CONTEXT, PIECE):
+                piece = tokens[at : at + PIECE + CONTEXT]
+                held += piece
+                sizes.append(len(piece) - CONTEXT)
+                if len(held) >= 8192:
+                    yield out()
     if held:
-        yield from out()
+        yield out()
+
+
+def windows(held: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (draws, sizes) to (k, CONTEXT + WINDOW) nodes and (k, WINDOW) marks of those that are draws."""
+    stream = np.frombuffer(b"".join(d for d, _ in held), "<u2")
+    size = np.frombuffer(b"".join(s for _, s in held), "<u4").astype(np.int64)
+    k = -(-(len(stream) - CONTEXT) // WINDOW)
+    fill = k * WINDOW + CONTEXT - len(stream)
+    runs = np.stack([np.full(len(size), CONTEXT), size], 1).ravel()
+    live = np.concatenate([np.repeat(np.arange(len(runs)) % 2 == 1, runs), np.zeros(fill, bool)])[CONTEXT:].reshape(k, WINDOW)
+    stream = np.concatenate([stream, np.zeros(fill, stream.dtype)])
+    return np.lib.stride_tricks.sliding_window_view(stream, CONTEXT + WINDOW)[::WINDOW], live
 
 
 def trained(it: Iterator[pa.RecordBatch], table, round_no: int, batch: int) -> Iterator[pa.RecordBatch]:
@@ -261,9 +329,9 @@ def trained(it: Iterator[pa.RecordBatch], table, round_no: int, batch: int) -> I
     trainer, n = Trainer(m, past, v, mass, 1000 * round_no + 7), 0
     held, count = [], 0
     for b in it:
-        for data in b.column("draws").to_pylist():
-            held.append(np.frombuffer(data, "<u2").reshape(-1, CONTEXT + 1))
-            count += len(held[-1])
+        for draws, sizes, size in zip(b.column("draws").to_pylist(), b.column("sizes").to_pylist(), b.column("n").to_pylist()):
+            held.append((draws, sizes))
+            count += size
             if count >= 8 * BATCH:  # some rows at a time, so a step mixes many documents
                 n += _pass(trainer, held, round_no, batch)
                 held, count = [], 0
@@ -275,12 +343,13 @@ def trained(it: Iterator[pa.RecordBatch], table, round_no: int, batch: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([n], pa.int64()), pa.array([both[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "n", "v"])
 
 
-def _pass(trainer: Trainer, held: list[np.ndarray], round_no: int, batch: int) -> int:
-    draws = np.concatenate(held)
-    draws = draws[trainer.rng.permutation(len(draws))]
-    for at in range(0, len(draws), batch):
-        trainer.step(draws[at : at + batch], RATE / (1 + round_no))
-    return len(draws)
+def _pass(trainer: Trainer, held: list[tuple[bytes, bytes]], round_no: int, batch: int) -> int:
+    nodes, live = windows(held)
+    order, several = trainer.rng.permutation(len(nodes)), max(1, batch // WINDOW)
+    for at in range(0, len(nodes), several):
+        some = order[at : at + several]
+        trainer.step(nodes[some], live[some], RATE / (1 + round_no))
+    return int(live.sum())
 
 
 def averaged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +467,7 @@ class Products:
         rows stays in a core's cache; numbers that might overflow are shifted first."""
         sure = norm * self.norm + self.bias < 80
         rows, n = max(1, len(buffer) // len(self.ones)), len(self.ones)
-        hit = np.einsum("nl,nl->n", h, self.rows[index])
+        hit = np.einsum("nl,nl->n", h, self.rows.take(index, axis=0))
         for at in range(0, len(h), rows):
             part = h[at : at + rows]
             s = np.matmul(part, self.columns, out=buffer[: len(part) * n].reshape(len(part), n))
@@ -425,11 +494,11 @@ class Scorer:
     def log_probabilities(self, nodes: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
         """Normalised log10 probabilities of nodes after the CONTEXT ones before, the last one first."""
         v = self.v
-        order = np.argsort(v.kind[nodes].astype(np.uint16), kind="stable")
-        nodes = nodes[order]
-        kind = v.kind[nodes]
+        order = np.argsort(v.kind.take(nodes).astype(np.uint16), kind="stable")
+        nodes = nodes.take(order)
+        kind = v.kind.take(nodes)
         h = np.ones((len(nodes), SIZE + 1), np.float32)
-        h[:, :SIZE] = sum(self.places[j][b[order]] for j, b in enumerate(before))
+        h[:, :SIZE] = sum(self.places[j].take(b.take(order), axis=0) for j, b in enumerate(before))
         norm = math.sqrt(float(np.einsum("nl,nl->n", h, h).max()))
         found = self.kinds.log_softmax(h, kind, norm, self.buffer)
         stops = np.searchsorted(kind, np.arange(v.singles, len(v.starts)))
@@ -465,7 +534,7 @@ def fit(docs: DataFrame, kept: int, own: int, top: int, classes: int, least: int
     table.destroy()
     table = spark.sparkContext.broadcast(v)
     rows = docs.filter(crc_of_id(F.col("doc_id")) % 10 != 0).select(F.col("text").cast("binary").alias("text"))
-    draws = materialise(rows.mapInArrow(lambda it: drawn(it, table), "draws binary, n long"), "draws")
+    draws = materialise(rows.mapInArrow(lambda it: drawn(it, table), "draws binary, sizes binary, n long"), "draws")
     m = train(draws, v, mass, share)
     free(draws)
     table.destroy()
@@ -493,11 +562,11 @@ def score_rows(it: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
         padded = np.full(len(flat) + CONTEXT * len(docs), end, np.int64)  # what stands before a text are end tokens
         place = np.arange(len(flat)) + CONTEXT * np.repeat(np.arange(1, len(docs) + 1), sizes)
         padded[place] = nodes
-        before = [padded[place - j] for j in range(1, CONTEXT + 1)]
-        gain = scorer.log_probabilities(nodes, before) - scorer.share[nodes]
+        before = [padded.take(place - j) for j in range(1, CONTEXT + 1)]
+        gain = scorer.log_probabilities(nodes, before) - scorer.share.take(nodes)
         kept = number >= 0
         sums = lambda x: np.add.reduceat(x, first[:-1])
-        n_known, base, gains = sums(kept & known[number]), sums(np.where(kept, v.log_q[number], 0.0)), sums(gain)
+        n_known, base, gains = sums(kept & known.take(number)), sums(np.where(kept, v.log_q.take(number), 0.0)), sums(gain)
         rare: list[tuple] = []
         other = ~kept
         for i in np.flatnonzero(sums(other.astype(np.int64))).tolist():

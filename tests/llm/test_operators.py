@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -621,6 +623,66 @@ def test_lm_learns_what_follows_what(spark):
     assert sum(r.score for r in got) / sum(r.base_score for r in got) < 0.7
 
 
+def test_lm_learns_from_every_position(spark, monkeypatch):
+    """Each token of each training text, its end too, is a draw after the words before it, in long texts and short ones."""
+    rng = random.Random(11)
+    texts = [None, "", "A", *(prose(rng, n, "en") for n in (1, 2, 5, 31, 32, 33, 400)), *(prose(rng, 9, "fr") for _ in range(30))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    seen, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda draws, v, *a: seen.append((draws.toArrow(), v)) or train(draws, v, *a))
+    lm_scoring.fit(docs, 1000, 40, 6, 4, 2)
+    (rows, v), ends = seen[0], [""] * lm_scoring.CONTEXT
+    tokens = [[*words((t or "").translate(LOW)), ""] for t in learned]
+    assert sum(rows["n"].to_pylist()) == sum(map(len, tokens)) == v.total
+    nodes = lambda ws: tuple(lm_scoring.nodes_of(b := [w.encode() for w in ws], lm_scoring.numbered(b, v.words), v).tolist())
+    want = Counter(nodes((ends + t)[i : i + lm_scoring.CONTEXT + 1]) for t in tokens for i in range(len(t)))
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.encode() for t in learned], pa.binary())], names=["text"])
+    for piece in (7, 50, 8192):
+        monkeypatch.setattr(lm_scoring, "PIECE", piece)
+        held = [r for out in lm_scoring.drawn(iter([batch]), SimpleNamespace(value=v)) for r in zip(out["draws"].to_pylist(), out["sizes"].to_pylist())]
+        got, live = lm_scoring.windows(held)
+        assert Counter(tuple(got[i, j : j + lm_scoring.CONTEXT + 1].tolist()) for i, j in zip(*np.nonzero(live))) == want
+
+
+def lm_toy(seed):
+    best = [(b"", 50), *((b"w%d" % i, 40 - i) for i in range(30))]
+    v = lm_scoring.vocabulary(best, 25, 4, 3, 1, sum(c for _, c in best), len(best))
+    mass = np.random.default_rng(seed).random(v.nodes) * 9 + 0.1
+    m = lm_scoring.start(v, mass)
+    m.flat[:] += np.random.default_rng(seed).standard_normal(len(m.flat)).astype(np.float32) * 0.1
+    past = lm_scoring.Model(v.nodes, len(v.starts) - 1, np.full(len(m.flat), 0.01, np.float32))
+    return v, mass, m, past
+
+
+def test_lm_step_sums_overlapping_windows():
+    """A step of windows does what one of each draw by itself does."""
+    context, rng = lm_scoring.CONTEXT, np.random.default_rng(3)
+    after = []
+    for alone in (False, True):
+        v, mass, m, past = lm_toy(4)
+        rng = np.random.default_rng(3)
+        nodes = rng.integers(0, v.nodes, (5, context + 8)).astype(np.uint16)
+        live = rng.random((5, 8)) < 0.8
+        if alone:
+            i, j = np.nonzero(live)
+            nodes, live = np.stack([nodes[a, b : b + context + 1] for a, b in zip(i, j)]), np.ones((len(i), 1), bool)
+        before = m.flat.copy()
+        lm_scoring.Trainer(m, past, v, mass, 9).step(nodes, live, 0.05)
+        after.append(m.flat)
+        assert not np.allclose(m.flat, before)
+    assert np.allclose(after[0], after[1], atol=1e-5)
+
+
+def test_lm_noise_has_the_shares_of_its_class():
+    v, mass, _, _ = lm_toy(5)
+    stays, instead = lm_scoring.aliases(mass, v.starts)
+    size = np.diff(v.starts)[v.kind]
+    got = (stays + np.bincount(instead, weights=1 - stays, minlength=v.nodes)) / size
+    assert np.allclose(got, mass / np.add.reduceat(mass, v.starts[:-1])[v.kind])
+    assert (v.kind[instead] == v.kind).all()
+
+
 # 7
 
 
