@@ -192,11 +192,12 @@ class Region:
                     continue
             self.add_leader(ids[row], keys[row], sig[row])
         if len(self.ids) > known:  # members that were near an older leader meet the new ones as well
-            late = np.flatnonzero(near)
-            if len(late):
-                agree = (sig[late][:, None, :] == self.sig[None, known : len(self.ids), :]).sum(2, dtype=np.int16)
+            late, several = np.flatnonzero(near), max(1, 40_000 // (len(self.ids) - known))
+            for at in range(0, len(late), several):  # some at a time, as a block may hold many of both
+                some = late[at : at + several]
+                agree = (sig[some][:, None, :] == self.sig[None, known : len(self.ids), :]).sum(2, dtype=np.int16)
                 for row, col in zip(*np.nonzero(agree >= MAYBE)):
-                    self.sets.join(ids[late[row]], self.ids[known + col])
+                    self.sets.join(ids[some[row]], self.ids[known + col])
 
 
 CANDIDATES = "tree int, stretch int, key binary, sig binary, a long, b long"

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -365,6 +366,22 @@ def test_groups_in_blocks_lose_no_link(spark, monkeypatch):
         assert missed == 0, missed
 
 
+def test_regions_hold_no_table_of_their_members_and_new_leaders():
+    rng = np.random.default_rng(3)
+    copy, n = rng.integers(0, 256, near_dedup.SLOTS, np.uint8), 600
+    sig = np.concatenate([np.tile(copy, (n, 1)), rng.integers(0, 256, (n, near_dedup.SLOTS), np.uint8)])
+    sig[n + 1 :: 2, : near_dedup.MAYBE] = copy[: near_dedup.MAYBE]  # every second one may be linked with the copies
+    region, keys = near_dedup.Region(), [b"same key"] * 2 * n
+    tracemalloc.start()
+    region.take(list(range(2 * n)), keys, sig)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    a, b = region.sets.links()
+    assert sorted({*a, *b}) == [*range(n), *range(n + 1, 2 * n, 2)] and len(a) == n + n // 2 - 1
+    assert region.ids == [0, *range(n, 2 * n)]
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(50)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
