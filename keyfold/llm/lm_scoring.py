@@ -30,17 +30,17 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ASCII_LOWER, SPACE_CLASS, batches, crc_of_id, free, materialise, partition_id
+from keyfold.llm.common import SPACE_CLASS, batches, crc_of_id, free, materialise, partition_id
 
 #: The end token, which no word can be.
 END = b""
@@ -79,6 +79,7 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.kind = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)).astype(np.int32)  # class of each node
+        self.edges = np.array(self.bounds, object)
 
     @property
     def nodes(self) -> int:
@@ -88,6 +89,11 @@ class Vocabulary:
         """The node of a word without a vector of its own."""
         return int(self.starts[self.singles + bisect_right(self.bounds, key_of(word)) + 1]) - 1
 
+    def others(self, words: list[bytes]) -> np.ndarray:
+        """The nodes of words without vectors of their own."""
+        keys = np.array([key_of(w) for w in words], object)
+        return self.starts.take(self.singles + 1 + np.searchsorted(self.edges, keys, "right")) - 1
+
     def log10(self, count: int) -> float:
         return math.log10((count + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
@@ -97,8 +103,23 @@ def key_of(word: bytes) -> bytes:
     return word.rstrip(b".,")[::-1]
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return [*text.translate(ASCII_LOWER).split(), END] if text else [END]
+def tokens_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """Tokens of all texts, each text's closed by the end token, and how many each has. Bytes are taken as they are."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    # what is split at a blank at its end leaves an empty token there; an empty text is one by itself
+    texts = pc.binary_join_element_wise(texts, pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " "), "")
+    tokens = pc.ascii_split_whitespace(texts)
+    return tokens.flatten(), tokens.value_lengths().to_numpy().astype(np.int64)
+
+
+def different(tokens: pa.StringArray) -> tuple[pa.StringArray, list[bytes], np.ndarray]:
+    """The different ones of tokens, in Arrow and as a list, and for each token its number among them."""
+    found = tokens.dictionary_encode()
+    return found.dictionary, bytes_of(found.dictionary), found.indices.to_numpy()
+
+
+def bytes_of(words: pa.StringArray) -> list[bytes]:
+    return words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def numbered(tokens: list[bytes], words: dict[bytes, int]) -> np.ndarray:
@@ -107,27 +128,32 @@ def numbered(tokens: list[bytes], words: dict[bytes, int]) -> np.ndarray:
 
 def nodes_of(tokens: list[bytes], number: np.ndarray, v: Vocabulary) -> np.ndarray:
     out = v.node.take(number)
-    for i in np.flatnonzero(out < 0).tolist():
-        out[i] = v.other(tokens[i])
+    rest = np.flatnonzero(out < 0)
+    out[rest] = v.others([tokens[i] for i in rest.tolist()])
     return out
 
 
 def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to rows (word, c), a word's several times if a task meets very many different ones."""
-    found: Counter[bytes] = Counter()
+    """Texts to rows (word, c), a word's several times if a task meets very many different ones. Words are counted in Arrow."""
+    found: list[pa.Table] = []
+    n = 0
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["word", "c"])
-        found.clear()
-        return batch
+    def summed() -> pa.Table:
+        table = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return table.select(["word", "c_sum"]).rename_columns(["word", "c"])
 
     for b in batches(it, 2000):
-        for text in b.column("text").to_pylist():
-            found.update(tokens_of(text))
-        if len(found) > COUNTED:
-            yield out()
+        word, c = tokens_of(b.column("text"))[0].value_counts().flatten()
+        found.append(pa.table({"word": word, "c": c}))
+        n += len(word)
+        if n > 2 * COUNTED:
+            found = [summed()]
+            n = len(found[0])
+            if n > COUNTED:
+                yield from found[0].to_batches()
+                found, n = [], 0
     if found:
-        yield out()
+        yield from summed().to_batches()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -137,16 +163,18 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """One vector of all numbers, and views of its parts: r, vectors of words before; c, matrices by place; q and b, vectors
-    and biases of classes; qw and bw, those of nodes in their class."""
+    """One vector of all numbers, and views of its parts: r, vectors of words before; c, matrices by place; classes, vectors
+    and biases of classes (q and b); words, those of nodes in their class (qw and bw)."""
 
     def __init__(self, nodes: int, kinds: int, flat: np.ndarray | None = None) -> None:
-        shapes = {"r": (nodes, SIZE), "c": (CONTEXT, SIZE, SIZE), "q": (kinds, SIZE), "b": (kinds,), "qw": (nodes, SIZE), "bw": (nodes,)}
+        shapes = {"r": (nodes, SIZE), "c": (CONTEXT, SIZE, SIZE), "classes": (kinds, SIZE + 1), "words": (nodes, SIZE + 1)}
         self.flat = np.zeros(sum(math.prod(s) for s in shapes.values()), np.float32) if flat is None else flat
         at = 0
         for name, shape in shapes.items():
             setattr(self, name, self.flat[at : at + math.prod(shape)].reshape(shape))
             at += math.prod(shape)
+        self.q, self.b = self.classes[:, :SIZE], self.classes[:, SIZE]
+        self.qw, self.bw = self.words[:, :SIZE], self.words[:, SIZE]
 
 
 def start(v: Vocabulary, mass: np.ndarray, seed: int = 5) -> Model:
@@ -162,30 +190,67 @@ def start(v: Vocabulary, mass: np.ndarray, seed: int = 5) -> Model:
     return m
 
 
-def _rows(index: np.ndarray, rate: float, *parts: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> None:
-    """A step of those rows that index names, each with the sum of its gradients. parts: parameters, their past, gradients
-    and a factor of the rate."""
+def _sums(grad: np.ndarray, index: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers of index, those that occur more often first, and the sums of their rows of grad. With times, each
+    row of grad stands for as many of index, one after the other, and times are its factors. Second rows are added to the
+    first ones and so on, whole rows at once, until few numbers have as many."""
+    each = len(index) // len(grad)
+
+    def taken(at: np.ndarray) -> np.ndarray:
+        if times is None:
+            return grad.take(at, axis=0)
+        out = grad.take(at // each, axis=0)
+        out *= times.take(at)[:, None]
+        return out
+
     order = np.argsort(index, kind="stable")
     index = index.take(order)
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    rows = index.take(first)
-    for param, past, grad, factor in parts:
-        total = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
-        seen = past.take(rows, axis=0)
-        seen += total * total
-        past[rows] = seen
-        total *= factor * rate
-        total /= np.sqrt(seen, out=seen)
-        param[rows] = param.take(rows, axis=0) - total
-
-
-def _whole(param: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    size = np.diff(first, append=len(order))
+    upto = np.minimum(size, 10)
+    often = np.argsort((10 - upto).astype(np.uint8), kind="stable")
+    first, size = first.take(often), size.take(often)
+    more = len(first) - np.cumsum(np.bincount(upto, minlength=11))  # how many have more rows than 0, 1 and so on, but for the last
+    total, done = taken(order.take(first)), 1
+    while done < 9 and more[done] > 128:
+        total[: more[done]] += taken(order.take(first[: more[done]] + done))
+        done += 1
+    n = more[done]
+    if n:
+        left = size[:n] - done
+        at = np.cumsum(left) - left
+        rest = np.repeat(first[:n] + done - at, left) + np.arange(left.sum())
+        total[:n] += np.add.reduceat(taken(order.take(rest)), at, axis=0)
+    return index.take(first), total
+
+
+def _put(param: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    whole = f"V{param.itemsize * param.shape[1]}"
+    param.view(whole)[:, 0][rows] = values.view(whole)[:, 0]
+
+
+def _rows(index: np.ndarray, grad: np.ndarray, param: np.ndarray, past: np.ndarray, rate: float | np.ndarray, times: np.ndarray | None = None) -> None:
+    """A step of those rows that index names, each with the sum of its gradients."""
+    rows, total = _sums(grad, index, times)
+    seen = past.take(rows, axis=0)
+    seen += total * total
+    _put(past, rows, seen)
+    total *= rate
+    total /= np.sqrt(seen, out=seen)
+    _put(param, rows, np.subtract(param.take(rows, axis=0), total, out=total))
+
+
+def _whole(param: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float | np.ndarray) -> None:
     past += grad * grad
     param -= rate * grad / np.sqrt(past)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def aliases(mass: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +279,11 @@ class Trainer:
         of_class = np.add.reduceat(mass, v.starts[:-1])
         self.class_edges = np.cumsum(of_class / of_class.sum())
         self.log_class = np.log(NOISE * of_class / of_class.sum()).astype(np.float32)
-        self.stays, self.instead = aliases(mass, v.starts)
-        self.starts, self.sizes = v.starts[:-1].astype(np.int32), np.diff(v.starts).astype(np.int32)
+        stays, self.instead = aliases(mass, v.starts)
+        self.stays = stays.astype(np.float32)
+        self.starts, self.sizes = v.starts[:-1].astype(np.int32), np.diff(v.starts).astype(np.float32)
         self.log_word = np.log(WORD_NOISE * mass / of_class[v.kind]).astype(np.float32)
+        self.rates = np.array([1] * SIZE + [0.2], np.float32)  # of vectors and biases
 
     def step(self, nodes: np.ndarray, live: np.ndarray, rate: float) -> None:
         """nodes: (k, CONTEXT + WINDOW), windows with the words before them; live: (k, WINDOW), which positions are draws."""
@@ -224,88 +291,102 @@ class Trainer:
         k, length = live.shape
         some = np.flatnonzero(live)
         target = nodes[:, CONTEXT:].ravel().take(some)
+        kind = self.kind.take(target)
+        order = np.argsort(kind, kind="stable")  # draws of a class lie together
+        some, target, kind = some.take(order), target.take(order), kind.take(order)
         n = len(target)
-        ra = m.r.take(nodes.ravel(), axis=0)
-        placed = (ra @ m.c.transpose(1, 0, 2).reshape(SIZE, -1)).reshape(k, -1, CONTEXT, SIZE)
+        ra = m.r.take(nodes.ravel(), axis=0).reshape(k, -1, SIZE)
+        before = runs(ra, length)
         rows = np.ones((n, SIZE + 1), np.float32)
-        rows[:, :SIZE] = sum(placed[:, CONTEXT - 1 - j : CONTEXT - 1 - j + length, j] for j in range(CONTEXT)).reshape(-1, SIZE).take(some, axis=0)
-        h = np.ascontiguousarray(rows[:, :SIZE])
+        rows[:, :SIZE] = (before @ m.c[::-1].reshape(-1, SIZE)).take(some, axis=0)
         # classes, with noise that the batch shares
-        kind = self.kind.take(target)
         shared = NOISE * 8
-        false, times = np.unique(np.minimum(np.searchsorted(self.class_edges, rng.random(shared)), len(m.b) - 1), return_counts=True)
-        weight = (times * (NOISE / shared)).astype(np.float32)
-        qk, qf = m.q.take(kind, axis=0), m.q[false]
-        g_true = _sigmoid(np.einsum("nl,nl->n", h, qk) + m.b.take(kind) - self.log_class.take(kind)) - 1
-        gh = g_true[:, None] * qk
-        columns = np.ascontiguousarray(-np.concatenate([qf, (m.b[false] - self.log_class[false])[:, None]], 1).T)
+        times = np.bincount(np.minimum(np.searchsorted(self.class_edges, rng.random(shared)), len(m.b) - 1))
+        false = np.flatnonzero(times)
+        weight = (times.take(false) * (NOISE / shared)).astype(np.float32)
+        true, columns = m.classes.take(kind, axis=0), -m.classes.take(false, axis=0)
+        qf = -columns[:, :SIZE]
+        g_true = _sigmoid(np.einsum("nl,nl->n", rows, true) - self.log_class.take(kind)) - 1
+        gh = g_true[:, None] * true[:, :SIZE]
+        columns[:, SIZE] += self.log_class.take(false)
+        columns = np.ascontiguousarray(columns.T)
         g_false = np.zeros((SIZE + 1, len(false)), np.float32)
-        buffer = np.empty((1024, len(false)), np.float32)
+        buffer = np.empty((512, len(false)), np.float32)
         with np.errstate(over="ignore"):  # what overflows has a sigmoid of 0
-            for at in range(0, n, 1024):  # such a block stays in a core's cache
-                part = rows[at : at + 1024]
+            for at in range(0, n, 512):  # such a block stays in a core's cache
+                part = rows[at : at + 512]
                 s = np.matmul(part, columns, out=buffer[: len(part)])
                 np.exp(s, out=s)
                 s += 1
                 np.divide(weight, s, out=s)
-                gh[at : at + 1024] += s @ qf
+                gh[at : at + 512] += s @ qf
                 g_false += part.T @ s
-        index = np.concatenate([kind, false.astype(np.uint16)])
-        g_q = np.concatenate([g_true[:, None] * h, g_false[:SIZE].T])
-        g_b = np.concatenate([g_true, g_false[SIZE]])
+        first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        g_classes = np.zeros_like(m.classes)
+        g_classes[kind.take(first)] = np.add.reduceat(g_true[:, None] * rows, first, axis=0)
+        g_classes[false] += g_false.T
         # words in their class, with noise from the class
-        inner = np.flatnonzero(kind >= v.singles)
-        if len(inner):
-            t, of = target.take(inner), kind.take(inner)
+        inner = int(np.searchsorted(kind, v.singles))
+        if inner < n:
+            of, hs = kind[inner:], rows[inner:]
             size = self.sizes.take(of)[:, None]
-            at = rng.random((len(inner), WORD_NOISE)) * size
-            noise = np.minimum(at.astype(np.int32), size - 1)
+            at = rng.random((n - inner, WORD_NOISE), np.float32)
+            at *= size
+            noise = np.minimum(at, size - 1).astype(np.int32)
             at -= noise
             noise += self.starts.take(of)[:, None]
-            words = np.concatenate([t[:, None], np.where(at < self.stays.take(noise), noise, self.instead.take(noise))], 1).astype(np.uint16)
-            qw, hs = m.qw.take(words, axis=0), h.take(inner, axis=0)
-            g = _sigmoid(np.matmul(qw, hs[:, :, None])[:, :, 0] + m.bw.take(words) - self.log_word.take(words))
+            words = np.empty((n - inner, 1 + WORD_NOISE), np.uint16)
+            words[:, 0] = target[inner:]
+            words[:, 1:] = np.where(at < self.stays.take(noise), noise, self.instead.take(noise))
+            qw = m.words.take(words, axis=0)
+            g = _sigmoid(np.einsum("nwl,nl->nw", qw, hs) - self.log_word.take(words))
             g[:, 0] -= 1
-            gh[inner] += np.matmul(g[:, None, :], qw)[:, 0]
-            g_qw = np.multiply(g[:, :, None], hs[:, None, :], out=qw).reshape(-1, SIZE)
-            _rows(words.ravel(), rate, (m.qw, past.qw, g_qw, 1), (m.bw, past.bw, g.ravel(), 0.2))
-        after = np.zeros((k, length + 2 * CONTEXT, SIZE), np.float32)  # gradients of h by position, for those up to CONTEXT later
-        if n < live.size:
-            spread = np.zeros((live.size, SIZE), np.float32)
-            spread[some] = gh
-            gh = spread
-        after[:, CONTEXT : CONTEXT + length] = gh.reshape(k, length, SIZE)
-        later = np.concatenate([after[:, 1 + j : 1 + j + length + CONTEXT] for j in range(CONTEXT)], 2).reshape(-1, CONTEXT * SIZE)
-        g_r = later @ m.c.transpose(0, 2, 1).reshape(-1, SIZE)
-        g_c = (ra.T @ later).reshape(SIZE, CONTEXT, SIZE).transpose(1, 0, 2)
-        _rows(index, rate, (m.q, past.q, g_q, 1), (m.b, past.b, g_b, 0.2))
-        _rows(nodes.ravel(), rate, (m.r, past.r, g_r, 1))
+            gh[inner:] += np.einsum("nw,nwl->nl", g, qw[:, :, :SIZE])
+            _rows(words.ravel(), hs, m.words, past.words, rate * self.rates, g.ravel())
+        spread = np.zeros((k, length + 2 * CONTEXT, SIZE), np.float32)  # gradients of h by position, for those up to CONTEXT later
+        spread.reshape(-1, SIZE)[some + CONTEXT + some // length * (2 * CONTEXT)] = gh
+        g_c = (before.T @ spread[:, CONTEXT : CONTEXT + length].reshape(-1, SIZE)).reshape(CONTEXT, SIZE, SIZE)[::-1]
+        g_r = runs(spread[:, 1:], length + CONTEXT) @ m.c.transpose(0, 2, 1).reshape(-1, SIZE)
+        _whole(m.classes, past.classes, g_classes, rate * self.rates)
+        _rows(nodes.ravel(), g_r, m.r, past.r, rate)
         _whole(m.c, past.c, g_c, 0.2 * rate)
 
 
+def runs(rows: np.ndarray, n: int) -> np.ndarray:
+    """Of (k, length, SIZE): at each of the first n places, CONTEXT rows from there on, one after the other."""
+    by_window, by_row, by_number = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(rows), n, CONTEXT * SIZE), (by_window, by_row, by_number)).reshape(-1, CONTEXT * SIZE)
+
+
 def drawn(it: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     """Every position of all texts, in rows of some thousands: pieces of unsigned 16-bit nodes, each with the CONTEXT ones
     before it, and how many draws each piece has."""
     v: Vocabulary = table.value
-    held: list[bytes] = []
+    end = np.full(CONTEXT, v.node[v.words[END]], "<u2")
+    held: list[np.ndarray] = []
     sizes: list[int] = []
+    n = 0
 
     def out() -> pa.RecordBatch:
-        nodes = nodes_of(held, numbered(held, v.words), v).astype("<u2")
-        row = [pa.array([nodes.tobytes()], pa.binary()), pa.array([np.array(sizes, "<u4").tobytes()], pa.binary()), pa.array([sum(sizes)], pa.int64())]
+        row = [pa.array([np.concatenate(held).tobytes()], pa.binary()), pa.array([np.array(sizes, "<u4").tobytes()], pa.binary()), pa.array([sum(sizes)], pa.int64())]
         held.clear()
         sizes.clear()
         return pa.RecordBatch.from_arrays(row, names=["draws", "sizes", "n"])
 
     for b in batches(it, 2000):
-        for text in b.column("text").to_pylist():
-            tokens = [END] * CONTEXT + tokens_of(text)
-            for at in range(0, len(tokens) - CONTEXT, PIECE):
-                piece = tokens[at : at + PIECE + CONTEXT]
-                held += piece
-                sizes.append(len(piece) - CONTEXT)
-                if len(held) >= 8192:
+        tokens, lengths = tokens_of(b.column("text"))
+        _, words, index = different(tokens)
+        nodes, stop = nodes_of(words, numbered(words, v.words), v).astype("<u2").take(index), 0
+        for length in lengths.tolist():
+            start, stop = stop, stop + length
+            text = np.concatenate([end, nodes[start:stop]])
+            for at in range(0, length, PIECE):
+                held.append(text[at : at + PIECE + CONTEXT])
+                sizes.append(len(held[-1]) - CONTEXT)
+                n += len(held[-1])
+                if n >= 8192:
                     yield out()
+                    n = 0
     if held:
         yield out()
 
@@ -323,7 +404,8 @@ def windows(held: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(it: Iterator[pa.RecordBatch], table, round_no: int, batch: int) -> Iterator[pa.RecordBatch]:
-    """A task's draws to rows (block, n, values) of the model that it comes to, n: its draws."""
+    """A task's draws to rows (block, n, values) of the model that it comes to and, but for the last round, of its past
+    gradients. n: its draws."""
     v, mass, flat, past = table.value
     m, past = Model(v.nodes, len(v.starts) - 1, flat.copy()), Model(v.nodes, len(v.starts) - 1, past.copy())
     trainer, n = Trainer(m, past, v, mass, 1000 * round_no + 7), 0
@@ -338,7 +420,7 @@ def trained(it: Iterator[pa.RecordBatch], table, round_no: int, batch: int) -> I
     if count:
         n += _pass(trainer, held, round_no, batch)
     if n:
-        both = np.concatenate([m.flat, past.flat])
+        both = np.concatenate([m.flat, past.flat]) if round_no + 1 < ROUNDS else m.flat  # after the last round nothing steps
         for k in range(0, len(both), BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([n], pa.int64()), pa.array([both[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "n", "v"])
 
@@ -444,11 +526,11 @@ def others(it: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     v, own = table.value
     n, c = np.zeros(v.nodes, np.int64), np.zeros(v.nodes, np.int64)
     for b in it:
-        words = b.column("word").cast(pa.binary()).to_pylist()
-        nodes = np.fromiter((-1 if w in own else v.other(w) for w in words), np.int64, len(words))
-        some = nodes >= 0
-        n += np.bincount(nodes[some], minlength=v.nodes)
-        c += np.bincount(nodes[some], weights=b.column("c").to_numpy()[some], minlength=v.nodes).astype(np.int64)
+        words = bytes_of(b.column("word"))
+        some = [i for i, w in enumerate(words) if w not in own]
+        nodes = v.others([words[i] for i in some])
+        n += np.bincount(nodes, minlength=v.nodes)
+        c += np.bincount(nodes, weights=b.column("c").to_numpy()[some], minlength=v.nodes).astype(np.int64)
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(c[used])], names=["node", "n", "c"])
 
@@ -552,35 +634,31 @@ def score_rows(it: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     known = v.log_q > v.log10(0) + 1e-12
     next_id = partition_id() << 40
     for b in batches(it, 2000, 1 << 20):
-        docs = b.column("doc_id").to_pylist()
-        tokens = [tokens_of(t) for t in b.column("text").to_pylist()]
-        sizes = np.array([len(t) for t in tokens])
-        flat = [w for t in tokens for w in t]
-        number = numbered(flat, v.words)
-        nodes = nodes_of(flat, number, v)
+        docs = b.column("doc_id")
+        tokens, sizes = tokens_of(b.column("text"))
+        dictionary, words, index = different(tokens)
+        number = numbered(words, v.words)
+        nodes, number = nodes_of(words, number, v).take(index), number.take(index)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        padded = np.full(len(flat) + CONTEXT * len(docs), end, np.int64)  # what stands before a text are end tokens
-        place = np.arange(len(flat)) + CONTEXT * np.repeat(np.arange(1, len(docs) + 1), sizes)
+        padded = np.full(len(nodes) + CONTEXT * len(docs), end, np.int64)  # what stands before a text are end tokens
+        of = np.repeat(np.arange(len(docs)), sizes)
+        place = np.arange(len(nodes)) + CONTEXT * (of + 1)
         padded[place] = nodes
         before = [padded.take(place - j) for j in range(1, CONTEXT + 1)]
         gain = scorer.log_probabilities(nodes, before) - scorer.share.take(nodes)
         kept = number >= 0
         sums = lambda x: np.add.reduceat(x, first[:-1])
         n_known, base, gains = sums(kept & known.take(number)), sums(np.where(kept, v.log_q.take(number), 0.0)), sums(gain)
-        rare: list[tuple] = []
-        other = ~kept
-        for i in np.flatnonzero(sums(other.astype(np.int64))).tolist():
-            a = first[i]
-            for w, n in Counter(flat[a + k] for k in np.flatnonzero(other[a : first[i + 1]]).tolist()).items():
-                rare.append((w, next_id + i, n))
+        other = np.flatnonzero(~kept)
+        rare, tf = np.unique(of.take(other) * len(words) + index.take(other), return_counts=True)
         n, m = len(docs), len(rare)
-        key, rid, tf = zip(*rare) if rare else ((), (), ())
-        ids = list(range(next_id, next_id + n))
+        ids = np.arange(next_id, next_id + n)
         next_id += n
-        values = [(docs, pa.int64()), (sizes.tolist(), pa.int64()), (n_known.tolist(), pa.int64()), (base.tolist(), pa.float64()), (gains.tolist(), pa.float64())]
+        key = pa.concat_arrays([pa.array([f" {i}" for i in ids.tolist()], pa.string()), dictionary.take(pa.array(rare % len(words)))])
+        values = [docs.cast(pa.int64()), *(pa.array(x, kind) for x, kind in ((sizes, pa.int64()), (n_known, pa.int64()), (base, pa.float64()), (gains, pa.float64())))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f" {i}" for i in ids] + [w.decode("utf-8", "replace") for w in key], pa.string()), pa.array(ids + list(rid), pa.int64()), pa.array([0] * n + list(tf), pa.int64())]
-            + [pa.array(x + [None] * m, kind) for x, kind in values],
+            [key, pa.array(np.concatenate([ids, ids.take(rare // len(words))])), pa.array(np.concatenate([np.zeros(n, np.int64), tf]))]
+            + [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in values],
             names=[f.split()[0] for f in SCORED.split(", ")],
         )
 
@@ -600,8 +678,9 @@ def score(docs: DataFrame, kept: int = 131_072, own: int = 49_152, top: int = 63
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lambda it: score_rows(it, table), SCORED)
     rows = rows.join(counts.withColumnRenamed("word", "key"), "key", "left")
     share = F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / (m.total + ALPHA * (m.distinct + 1)))
+    n_known = F.coalesce("n_known", F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))  # of a document's row, or of another word's
     sums = rows.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * share).otherwise(0.0))).alias("base_score"), F.max("gain").alias("gain"),
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(n_known).alias("n_known"),
+        F.sum(F.coalesce("base", F.col("tf") * share)).alias("base_score"), F.max("gain").alias("gain"),
     )
     return sums.select("doc_id", held_out, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))

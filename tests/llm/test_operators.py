@@ -662,6 +662,48 @@ def test_lm_learns_from_every_position(spark, monkeypatch):
         assert Counter(tuple(got[i, j : j + lm_scoring.CONTEXT + 1].tolist()) for i, j in zip(*np.nonzero(live))) == want
 
 
+def test_lm_tokens_are_those_of_bytes():
+    """Texts are split in Arrow as Python splits their bytes, also where these aren't UTF-8, and counted so."""
+    texts = [None, b"", b" ", b"A", b"a b ", b"\x0bA\x0cb\tc\nd\re  f\x00 ", b"\x1ca\x1d b\x1f \x85 c\xc2\xa0d", "É é ſ K\u2003x".encode(), b"\xff\xfe Z \xc3", b"x" * 70 + b" y"]
+    want = [[*(t or b"").lower().split(), b""] for t in texts]
+    column = pa.array([b"no", *texts], pa.binary())
+    tokens, sizes = lm_scoring.tokens_of(column[1:])
+    assert (lm_scoring.bytes_of(tokens), sizes.tolist()) == ([w for t in want for w in t], [len(t) for t in want])
+    batch = pa.RecordBatch.from_arrays([column[1:]], names=["text"])
+    got = [r for b in lm_scoring.counted(iter([batch, batch])) for r in zip(lm_scoring.bytes_of(b["word"]), b["c"].to_pylist())]
+    assert len(got) == len(dict(got)) and dict(got) == {w: 2 * c for w, c in Counter(w for t in want for w in t).items()}
+
+
+def test_lm_counts_leave_a_task_when_many(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "COUNTED", 5)
+    batch = [pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{k}" for k in range(i, i + 7)).encode()], pa.binary())], names=["text"]) for i in range(20)]
+    got = [(w, c) for b in lm_scoring.counted(iter(batch)) for w, c in zip(b["word"].to_pylist(), b["c"].to_pylist())]
+    want = Counter(f"w{k}" for i in range(20) for k in range(i, i + 7)) + Counter({"": 20})
+    assert len(got) > len(want) and sum((Counter({w: c}) for w, c in got), Counter()) == want
+
+
+def test_lm_last_round_sends_no_past():
+    """Step sizes of a round that none follows aren't shuffled: its rows have the model's numbers and no others."""
+    v, mass, m, past = lm_toy(6)
+    nodes = np.arange(v.nodes, dtype="<u2")
+    batch = pa.RecordBatch.from_arrays([pa.array([nodes.tobytes()]), pa.array([np.array([len(nodes) - lm_scoring.CONTEXT], "<u4").tobytes()]), pa.array([len(nodes) - lm_scoring.CONTEXT])], names=["draws", "sizes", "n"])
+    for round_no, times in ((0, 2), (lm_scoring.ROUNDS - 1, 1)):
+        rows = [r for b in lm_scoring.trained(iter([batch]), SimpleNamespace(value=(v, mass, m.flat, past.flat)), round_no, 64) for r in b["v"].to_pylist()]
+        assert sum(map(len, rows)) == times * m.flat.nbytes
+
+
+@pytest.mark.parametrize("n, most", [(1, 1), (40, 3), (5000, 300), (70_000, 20_000)])
+def test_lm_sums_of_rows(n, most):
+    rng = np.random.default_rng(n)
+    index, grad, times = (most * rng.random((n, 5)) ** 3).astype(np.uint16).ravel(), rng.standard_normal((n, 3)).astype(np.float32), rng.standard_normal(5 * n).astype(np.float32)
+    for some, factors in ((index[:n], None), (index, times)):
+        rows, got = lm_scoring._sums(grad, some, factors)
+        want = np.zeros((most, 3))
+        np.add.at(want, some, grad if factors is None else np.repeat(grad, 5, axis=0) * factors[:, None])
+        assert sorted(rows.tolist()) == sorted(set(some.tolist()))
+        assert np.allclose(got, want[rows], atol=1e-2)
+
+
 def lm_toy(seed):
     best = [(b"", 50), *((b"w%d" % i, 40 - i) for i in range(30))]
     v = lm_scoring.vocabulary(best, 25, 4, 3, 1, sum(c for _, c in best), len(best))
