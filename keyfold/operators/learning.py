@@ -91,7 +91,8 @@ def lloyd(points: DataFrame, centres: list[list[float]], rounds: int, vec_id: st
                     np.add.at(total, c, x)
                     count += np.bincount(c, minlength=len(middle))
             used = np.flatnonzero(count)
-            yield pd.DataFrame({"c": used.astype(np.int32), "n": count[used], "s": list(total[used])})
+            if len(used):  # a frame without rows has no type for s
+                yield pd.DataFrame({"c": used.astype(np.int32), "n": count[used], "s": list(total[used])})
 
         n, s = _sums(rows.mapInPandas(partial, "c int, n double, s array<double>"), middle.shape[1], len(middle))
         middle = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], middle)
