@@ -19,11 +19,15 @@ from keyfold.plans import Pipeline
 from keyfold.sources import text as text_source
 from keyfold.sources.tables import order_edges, order_ratings, part_labels, table
 
+#: Bytes of a file that is read as a whole: a row that a task holds, so it doesn't grow with the input.
+WHOLE = 8_000_000
 
-def _through_text(spark: SparkSession, rows: DataFrame, read: Callable[[str], DataFrame]) -> DataFrame:
-    """What read makes of rows, a column of lines, once they are written as text. The result is written, the text goes."""
+
+def _through_text(spark: SparkSession, rows: DataFrame, read: Callable[[str], DataFrame], most: int | None = None) -> DataFrame:
+    """What read makes of rows, a column of lines, once they are written as text. The result is written, the text goes.
+    most: bytes of a file, if files are read as a whole."""
     path = f"{storage.checkpoint_dir(spark)}/keyfold-text-{uuid.uuid4().hex}"
-    text_source.write_lines(rows, path)
+    text_source.write_lines(rows, path, most)
     out = storage.cut(read(path))
     storage.remove(spark, path)
     return out
@@ -71,7 +75,7 @@ def whole_file_records(spark: SparkSession, sf: str) -> DataFrame:
         p.run()
         return loaded.frame().select(F.col("title").cast("long").alias("doc_id"), F.length(F.trim("text")).cast("long").alias("n_chars"))
 
-    return _through_text(spark, rows, read)
+    return _through_text(spark, rows, read, WHOLE)
 
 
 def lazy_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +87,7 @@ def lazy_files(spark: SparkSession, sf: str) -> DataFrame:
         p.run()
         return loaded.frame().agg(F.sum(F.size(F.split("value", "\n")) - 1).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
 
-    return _through_text(spark, table(spark, sf, "customer").select(_line("c_custkey", "c_mktsegment")), read)
+    return _through_text(spark, table(spark, sf, "customer").select(_line("c_custkey", "c_mktsegment")), read, WHOLE)
 
 
 def adjacency_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +101,35 @@ def seeds(text: Column) -> Column:
     return tokens(text, ",")
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """One column of strings, a file per partition."""
-    df.write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, most: int | None = None) -> None:
+    """One column of strings, a file per partition. most: several files of at most so many bytes, and of a row at least, for
+    those that are read as a whole."""
+    if not most:
+        df.write.mode("overwrite").text(path)
+        return
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as few long ones, with the line ends between them inside: each is a file."""
+        held, size = [], 0
+
+        def joined() -> pa.RecordBatch:
+            rows = pa.concat_arrays(held)
+            return pa.RecordBatch.from_arrays([pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), "\n")], names=["value"])
+
+        for b in it:
+            rows = pc.fill_null(b.column(0).cast(pa.string()), "")
+            ends, at = np.concatenate(([0], np.cumsum(pc.binary_length(rows).to_numpy().astype(np.int64) + 1))), 0
+            while at < len(rows):
+                stop = max(at + (not held), int(np.searchsorted(ends, ends[at] + most - size, "right")) - 1)
+                if stop > at:
+                    held.append(rows.slice(at, stop - at))
+                    size += int(ends[stop] - ends[at])
+                if stop < len(rows):
+                    yield joined()
+                    held, size = [], 0
+                at = stop
+        if held:
+            yield joined()
+
+    df.mapInArrow(packed, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 

@@ -36,6 +36,18 @@ def test_line_limits_and_lazy_lines(spark, tmp_path):
     assert sorted(r.length for r in text.files(spark, str(tmp_path)).collect()) == [4, 6]
 
 
+def test_files_that_are_read_whole_have_a_bound(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i:04d}" * (i % 4) + ("\n</doc>" if i % 3 else ""),) for i in range(500)] + [("y" * 900,), (None,), ("é" * 40,)], "value string").coalesce(2)
+    text.write_lines(rows, str(tmp_path / "some"), 200)
+    text.write_lines(rows, str(tmp_path / "all"))
+    some, everything = [sorted(p.read_bytes() for p in (tmp_path / f).glob("part-*.txt")) for f in ("some", "all")]
+    assert len(everything) == 2 and len(some) > 20 and sorted(map(len, some))[-1] == 901 and sorted(map(len, some))[-2] <= 200
+    assert sorted(b"".join(some).split(b"\n")) == sorted(b"".join(everything).split(b"\n"))
+    text.write_lines(rows.limit(0), str(tmp_path / "none"), 200)
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+    assert text.records(spark, str(tmp_path / "some")).count() > 0
+
+
 def test_grammars(spark):
     r = text.libsvm(lines(spark, "1 3:0.5 7:2")).first()
     assert r.y == 1 and [(p.i, p.v) for p in r.x] == [(2, 0.5), (6, 2.0)]
