@@ -1,5 +1,7 @@
 """Sources, graphs, matching, learning and streams on small fixtures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,31 @@ def test_term_weights(spark):
     assert got[1, "a"] == (pytest.approx(2 / 3), pytest.approx(np.log(2))) and got[1, "b"] == (pytest.approx(1 / 3), 0.0)
 
 
+def test_weights_of_odd_documents(spark):
+    from collections import Counter
+    from math import log
+
+    texts = [(1, "A a\tb.c"), (2, "É\u00a0é,(x) x"), (2, "x\rx Y"), (None, "y"), (None, "a?y"), (3, None), (4, ""), (5, " ., "), (6, "w" * 70 + " a"), (7, "\n'b'")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    split = lambda t: [w for w in re.split(r"""[ \t\n.,()'":;!?<>]+""", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    want = {}
+    for i, t in texts:
+        want.setdefault(i, Counter()).update(split(t))
+    df = Counter(w for c in want.values() for w in c)
+    got = {(r.doc_id, r.term): (r.cnt, r.total, r.df) for r in term_stats.with_df(docs).collect()}
+    assert got == {(i, w): (n, sum(c.values()), df[w]) for i, c in want.items() for w, n in c.items()}
+    few = spark.createDataFrame([(2,), (6,), (2,)], "doc_id long")
+    hashed = term_stats.log_weights(docs, len(texts), 1 << 20, only=few).collect()
+    assert sorted(r.tf_idf for r in hashed) == pytest.approx(sorted(n / sum(want[i].values()) * log(len(texts) / df[w]) for i in (2, 6) for w, n in want[i].items()))
+
+
+def test_terms_beyond_those_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i))) for i in range(1, 30)], "doc_id long, text string")
+    monkeypatch.setattr(term_stats._frequent, "__defaults__", (7,))
+    assert {(r.doc_id, r.term): r.df for r in term_stats.with_df(docs).collect()} == {(i, f"w{k}"): 29 - k for i in range(1, 30) for k in range(i)}
+
+
+
 def test_online_kmeans_as_in_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 3))
