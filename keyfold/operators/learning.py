@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold import storage
-from keyfold.functions import sigmoid, squared_distance
+from keyfold.functions import dot, sigmoid, squared_distance
 
 # k-means
 
@@ -259,9 +259,12 @@ def full_logistic(points: DataFrame, rounds: int, alpha: float, parts: int, key:
 
 def predictions(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """(user, item, rating, predicted) from factors (user, p) and (item, q)."""
-    from keyfold.functions import dot
+    return scored(ratings.join(users, "user").join(items, "item"))
 
-    return ratings.join(users, "user").join(items, "item").select("user", "item", "rating", dot("p", "q").alias("predicted"))
+
+def scored(ratings: DataFrame) -> DataFrame:
+    """(user, item, rating, predicted) of ratings that have their factors p and q."""
+    return ratings.select("user", "item", "rating", dot("p", "q").alias("predicted"))
 
 
 def rating_error(predicted: DataFrame) -> DataFrame:

@@ -55,3 +55,8 @@ def test_lloyd_where_tasks_have_no_points(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [9.0, 9.0])], "vec_id long, embedding array<float>").repartition(8)
     assert learning.lloyd(points, [[1.0, 2.0], [8.0, 8.0], [99.0, 99.0]], 2) == [[2.0, 3.0], [9.0, 9.0], [99.0, 99.0]]
     assert learning.lloyd(points.filter("vec_id > 3"), [[1.0, 2.0]], 1) == [[1.0, 2.0]]
+
+
+def test_factors_that_follow_from_ids_join_nothing(spark):
+    plan = QUERIES["mf_eval_rmse"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # lines with their orders
