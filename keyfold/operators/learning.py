@@ -7,6 +7,7 @@ the same on any cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -272,37 +273,101 @@ def rating_error(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
+def _stretches(it: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (block, kind, ..., items) in parts of one block and kind, of at most so many items and a row at least."""
+    for b in it:
+        both = b.column("block").to_numpy().astype(np.int64) * 2 + b.column("kind").to_numpy()
+        seen = np.cumsum(b.column("items").value_lengths().fill_null(0).to_numpy().astype(np.int64))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(both)) + 1, np.searchsorted(seen, np.arange(most, seen[-1] if len(seen) else 0, most)), [len(both)]))
+        for lo, hi in pairwise(np.unique(cuts)):
+            yield b.slice(lo, hi - lo)
+
+
+def _descend(p: np.ndarray, q: np.ndarray, u: np.ndarray, i: np.ndarray, r: np.ndarray, rate: float, penalty: float, immediate: bool) -> None:
+    """Steps of ratings r between p[u] and q[i], as if one after another. A step waits only for those before it with its user or
+    item, so steps go in levels: of each level no two share a user or an item."""
+    seen = ~np.isnan(r)  # a rating that is unknown teaches nothing
+    u, i, r = u[seen], i[seen], r[seen]
+    for now in _levels(u, i):
+        a, b, at, to = p[u[now]], q[i[now]], u[now], i[now]
+        e = (r[now] - (a * b).sum(1))[:, None]
+        new = b + rate * (e * a - penalty * b)
+        p[at] = a + rate * (e * (new if immediate else b) - penalty * a)
+        q[to] = new
+
+
+def _levels(u: np.ndarray, i: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of steps, level by level: each comes after all earlier steps with the same u or i."""
+    n = len(u)
+    waits, after = np.zeros(n, np.int8), np.full((2, n), n, np.int64)
+    for k, key in enumerate((u, i)):
+        order = np.argsort(key, kind="stable")
+        before, later = order[:-1], order[1:]
+        same = key[before] == key[later]
+        after[k, before[same]] = later[same]
+        waits[later[same]] += 1
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        yield ready
+        nxt = after[:, ready].ravel()
+        nxt = nxt[nxt < n]
+        np.subtract.at(waits, nxt, 1)
+        ready = np.unique(nxt[waits[nxt] == 0])
+
+
 def factorise(ratings: DataFrame, rank: int, rounds: int, blocks: int, rate: float, penalty: float, immediate: bool = True, start: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """User and item factors by stochastic gradient descent over a ring of blocks.
 
     Users stay in block user % blocks; in each of a round's stretches, block b meets the items of block (b + stretch)
     % blocks, so no two tasks ever change the same factors. immediate: an item's new factor is used for the user's.
-    A task holds a block of users, of items, and the ratings between them: all rows over blocks squared.
+    A task holds the factors of a block of items. Its users come one after another, each with its ratings as a row, and
+    some at a time, so neither users nor ratings are held.
     """
     from keyfold.operators.iterate import iterate
 
-    rows = ratings.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("double")).withColumn("ub", F.pmod("user", F.lit(blocks)).cast("int")).withColumn("ib", F.pmod("item", F.lit(blocks)).cast("int"))
-    rows = storage.cut(rows)
+    rows = ratings.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("double")).filter("user is not null and item is not null")
+    ib = F.pmod("item", F.lit(blocks)).cast("int").alias("ib")
+    rows = storage.cut(rows.groupBy("user", ib).agg(F.array_sort(F.collect_list(F.struct("item", "rating"))).alias("r")).select("user", "ib", F.col("r.item").alias("items"), F.col("r.rating").alias("ratings")))
     seed = lambda kind, c: F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda i: F.pmod(F.xxhash64(F.lit(kind), c, i), F.lit(1000)) / 1000.0 * start)
     users = rows.select("user").distinct().select(F.lit(0).alias("kind"), F.col("user").alias("id"), seed("u", F.col("user")).alias("f"))
-    items = rows.select("item").distinct().select(F.lit(1).alias("kind"), F.col("item").alias("id"), seed("i", F.col("item")).alias("f"))
-
-    def train(key, known: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        place = {(k, i): n for n, (k, i) in enumerate(zip(known["kind"], known["id"]))}
-        f = np.array(known["f"].tolist(), np.float64).reshape(len(known), rank)
-        for u, i, r in seen.sort_values(["user", "item"])[["user", "item", "rating"]].itertuples(index=False):
-            p, q = f[place[0, u]], f[place[1, i]]
-            e = r - p @ q
-            new_q = q + rate * (e * p - penalty * q)
-            p += rate * (e * (new_q if immediate else q) - penalty * p)
-            q[:] = new_q
-        return pd.DataFrame({"kind": known["kind"], "id": known["id"], "f": list(f)})
+    items = rows.select(F.explode("items").alias("item")).distinct().select(F.lit(1).alias("kind"), F.col("item").alias("id"), seed("i", F.col("item")).alias("f"))
+
+    def train(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "id", "f"]
+        ids, q, now, block_ids, block_q = np.zeros(0, np.int64), np.zeros((0, rank)), None, [], []
+
+        def factors(ids: np.ndarray, f: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ids), 50_000):
+                n = len(part := ids[at : at + 50_000])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * rank), pa.array(f[at : at + n].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part), lists], names=names)
+
+        for b in _stretches(it):
+            block, kind = b.column("block")[0].as_py(), b.column("kind")[0].as_py()
+            if block != now:
+                yield from factors(ids, q, 1)
+                now, block_ids, block_q = block, [], []
+                ids, q = np.zeros(0, np.int64), np.zeros((0, rank))
+            if kind == 1:  # items come first, by id
+                block_ids.append(b.column("id").to_numpy())
+                block_q.append(b.column("f").flatten().to_numpy().reshape(-1, rank))
+                continue
+            if block_ids:
+                ids, q, block_ids, block_q = np.concatenate(block_ids), np.concatenate(block_q), [], []
+            own, p = b.column("id").to_numpy(), b.column("f").flatten().to_numpy().reshape(-1, rank).copy()
+            n = b.column("items").value_lengths().fill_null(0).to_numpy()
+            _descend(p, q, np.repeat(np.arange(len(own)), n), np.searchsorted(ids, b.column("items").flatten().to_numpy()), b.column("ratings").flatten().to_numpy(zero_copy_only=False), rate, penalty, immediate)
+            yield from factors(own, p, 0)
+        if block_ids:
+            ids, q = np.concatenate(block_ids), np.concatenate(block_q)
+        yield from factors(ids, q, 1)
 
     def stretch(state: DataFrame, n: int) -> DataFrame:
         shift = (n - 1) % blocks
         block = F.when(F.col("kind") == 0, F.pmod("id", F.lit(blocks))).otherwise(F.pmod(F.pmod("id", F.lit(blocks)) - shift, F.lit(blocks))).cast("int")
-        here = rows.filter(F.col("ib") == F.pmod(F.col("ub") + shift, F.lit(blocks))).select(F.col("ub").alias("block"), "user", "item", "rating")
-        return state.withColumn("block", block).groupBy("block").cogroup(here.groupBy("block")).applyInPandas(train, "kind int, id long, f array<double>")
+        here = rows.filter(F.col("ib") == F.pmod(F.pmod("user", F.lit(blocks)) + shift, F.lit(blocks))).select(F.lit(0).alias("k"), "user", "items", "ratings")
+        met = state.join(here, (F.col("kind") == F.col("k")) & (F.col("id") == F.col("user")), "left").select(block.alias("block"), "kind", "id", "f", "items", "ratings")
+        return met.repartition("block").sortWithinPartitions("block", F.desc("kind"), "id").mapInArrow(train, "kind int, id long, f array<double>")
 
     out = iterate(users.union(items), stretch, rounds * blocks, checkpoint_every=4)
     return out.filter("kind = 0").select(F.col("id").alias("user"), F.col("f").alias("p")), out.filter("kind = 1").select(F.col("id").alias("item"), F.col("f").alias("q"))

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,30 @@ def test_factorisation_as_in_numpy(spark):
     assert error(12) < 0.7 * error(1)
 
 
+@pytest.mark.parametrize("immediate", [True, False])
+def test_factorisation_is_that_of_one_rating_after_another(spark, immediate):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(u), int(i)): float(rng.integers(1, 5)) for u, i in rng.integers(0, 30, (300, 2))}.items())
+    ratings = spark.createDataFrame([(u, i, r) for (u, i), r in rows] + [(7, 99, None), (None, 3, 1.0)], "user long, item long, rating double").repartition(5)
+    got = [{r[0]: r[1] for r in df.collect()} for df in learning.factorise(ratings, 3, 2, 3, 0.05, 0.01, immediate, 1.0)]
+    p, q = [{r[0]: np.array(r[1]) for r in df.collect()} for df in learning.factorise(ratings, 3, 0, 3, 0.05, 0.01, immediate, 1.0)]
+    assert set(p) == {u for (u, _), _ in rows} | {7} and 99 in q
+    for n in range(6):
+        for (u, i), r in rows:
+            if i % 3 == (u % 3 + n) % 3:
+                e = r - p[u] @ q[i]
+                new = q[i] + 0.05 * (e * p[u] - 0.01 * q[i])
+                p[u] = p[u] + 0.05 * (e * (new if immediate else q[i]) - 0.01 * p[u])
+                q[i] = new
+    for a, b in zip(got, (p, q)):
+        assert set(a) == set(b) and all(np.allclose(a[k], b[k]) for k in b)
+
+
+def test_ratings_of_a_block_are_met_in_parts():
+    rows = pa.RecordBatch.from_pydict({"block": [0, 0, 0, 0, 1], "kind": [1, 0, 0, 0, 0], "items": [None, [1, 2], [1, 2, 3], [2], [3, 4]]})
+    assert [b.num_rows for b in learning._stretches(iter([rows]), 5)] == [1, 1, 2, 1] and [b.num_rows for b in learning._stretches(iter([rows]), 2)] == [1, 1, 1, 1, 1]
+
+
 def test_links(spark):
     pages = spark.createDataFrame([("http://a.b/c/d?x", '<a href="/e">e</a><a class=y href="f">f</a><a href="https://g.h/">g</a><a href="//i.j">i</a>')], "url string, html string")
     assert sorted(r.dst for r in crawl.links_of(pages).collect()) == ["http://a.b/c/f", "http://a.b/e", "http://i.j", "https://g.h/"]
